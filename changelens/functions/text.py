@@ -28,7 +28,7 @@ def terms_regex(terms) -> str:
     for t in terms:
         if t not in seen:
             seen.append(t)
-    return "|".join(re.escape(t) for t in seen)
+    return "|".join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", t) for t in seen)
 
 
 def strip_ws(c) -> Column:
