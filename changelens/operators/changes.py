@@ -78,12 +78,17 @@ def before_after_join(changes: DataFrame, versions: DataFrame, on: list[str], co
     if how not in ("inner", "outer"):
         raise ValueError("how must be 'inner' or 'outer'")
     jt = "inner" if how == "inner" else "left"
-    va = versions.select(*on, F.col(commit).alias("__a_commit"), F.col(content).alias("after"))
-    vb = versions.select(*on, F.col(commit).alias("__b_commit"), F.col(content).alias("before"))
-    r = changes.join(va, [changes[k] == va[k] for k in on] + [changes[commit] == va["__a_commit"]], jt)
-    r = r.drop(*[va[k] for k in on])
-    r = r.join(vb, [r[k] == vb[k] for k in on] + [r[parent] == vb["__b_commit"]], jt).drop(*[vb[k] for k in on])
-    r = r.drop("__a_commit", "__b_commit")
+
+    def side(tag, out):
+        v = versions.select(*[F.col(k).alias(f"__{tag}_{k}") for k in on],
+                            F.col(commit).alias(f"__{tag}_commit"), F.col(content).alias(out))
+        return v, [f"__{tag}_{k}" for k in on] + [f"__{tag}_commit"]
+
+    va, a_cols = side("a", "after")
+    vb, b_cols = side("b", "before")
+    r = changes.join(va, [F.col(k) == F.col(f"__a_{k}") for k in on] + [F.col(commit) == F.col("__a_commit")], jt)
+    r = r.join(vb, [F.col(k) == F.col(f"__b_{k}") for k in on] + [F.col(parent) == F.col("__b_commit")], jt)
+    r = r.drop(*a_cols, *b_cols)
     if how == "outer":
         r = r.withColumns({"before": F.coalesce("before", F.lit("")), "after": F.coalesce("after", F.lit(""))})
     return r
