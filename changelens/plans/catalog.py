@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from . import q_changes, q_diffs, q_messages  # noqa: F401
+from . import q_changes, q_diffs, q_messages, q_scores  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
