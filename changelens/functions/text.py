@@ -118,3 +118,8 @@ def lines(c) -> Column:
     n = F.size(parts)
     return F.when(F.length(x) == 0, F.array().cast("array<string>")).when(
         F.get(parts, n - 1) == "", F.slice(parts, 1, n - 1)).otherwise(parts)
+
+
+def is_json_object(c) -> Column:
+    """True when the text parses as a JSON object (``json_object_keys`` is null otherwise)."""
+    return F.json_object_keys(_col(c)).isNotNull()

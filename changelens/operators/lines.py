@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import diffs as D
 from ..functions.paths import path_category
-from ..functions.text import lines, squeeze_diff, strip_ws
+from ..functions.text import is_json_object, lines, squeeze_diff, strip_ws
 
 DISCREPANCY_MODES = ("both", "compat", "none")
 
@@ -40,7 +40,7 @@ def discrepancy(df: DataFrame, diff_col: str = "diff", hist_col: str = "diff_his
 
     same = (D.same_line_sets(D.added_lines(text), hist_side("added"))
             & D.same_line_sets(D.deleted_lines(text), hist_side("deleted")))
-    bad = F.try_parse_json(F.col(hist_col)).isNull()
+    bad = ~is_json_object(hist_col)
     return df.withColumn(out, F.when(bad, "Error").when(same, "Yes").otherwise("No"))
 
 
