@@ -112,12 +112,10 @@ def model_text_cleanup(c) -> Column:
 
 
 def lines(c) -> Column:
-    """Python ``splitlines()``: split on CR LF / CR / LF, no trailing empty element."""
+    """Python ``splitlines()``: split on CR LF / CR / LF, no trailing empty element, '' -> []."""
     x = _col(c)
-    parts = F.split(x, r"\r\n|\r|\n")
-    n = F.size(parts)
-    return F.when(F.length(x) == 0, F.array().cast("array<string>")).when(
-        F.get(parts, n - 1) == "", F.slice(parts, 1, n - 1)).otherwise(parts)
+    body = F.regexp_replace(x, r"(?:\r\n|\r|\n)\z", "")
+    return F.when(F.length(x) == 0, F.array().cast("array<string>")).otherwise(F.split(body, r"\r\n|\r|\n"))
 
 
 def is_json_object(c) -> Column:

@@ -32,16 +32,19 @@ def discrepancy(df: DataFrame, diff_col: str = "diff", hist_col: str = "diff_his
     if normalize not in DISCREPANCY_MODES:
         raise ValueError(f"normalize must be one of {DISCREPANCY_MODES}")
     text = squeeze_diff(F.col(diff_col)) if normalize in ("both", "compat") else F.col(diff_col)
-    parsed = F.from_json(F.col(hist_col), D.hist_schema())
+    # staged: each intermediate is a column, so no large expression is re-derived per use
+    d = df.withColumns({"__lines": lines(text), "__hist": F.from_json(F.col(hist_col), D.hist_schema()),
+                        "__bad": ~is_json_object(hist_col)})
 
     def hist_side(side):
-        arr = F.transform(F.coalesce(parsed[side], F.array()), lambda s: strip_ws(s["line"]))
+        arr = F.transform(F.coalesce(F.col("__hist")[side], F.array()), lambda s: strip_ws(s["line"]))
         return D.no_spaces(arr) if normalize == "both" else arr
 
-    same = (D.same_line_sets(D.added_lines(text), hist_side("added"))
-            & D.same_line_sets(D.deleted_lines(text), hist_side("deleted")))
-    bad = ~is_json_object(hist_col)
-    return df.withColumn(out, F.when(bad, "Error").when(same, "Yes").otherwise("No"))
+    d = d.withColumns({"__am": D.signed_lines("__lines", "+"), "__dm": D.signed_lines("__lines", "-"),
+                       "__ah": hist_side("added"), "__dh": hist_side("deleted")})
+    same = D.same_line_sets("__am", "__ah") & D.same_line_sets("__dm", "__dh")
+    return d.withColumn(out, F.when(F.col("__bad"), "Error").when(same, "Yes").otherwise("No")).drop(
+        "__lines", "__hist", "__bad", "__am", "__dm", "__ah", "__dh")
 
 
 def file_type(df: DataFrame, path_col: str = "new_file_path", out: str = "file_type") -> DataFrame:
