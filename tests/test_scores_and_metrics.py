@@ -96,3 +96,12 @@ def test_hit_rate(spark):
     df = spark.createDataFrame([(0.9, 0.1), (0.5, 0.95)], "dev double, model double")
     got = {r.creator: r.hit_rate for r in K.hit_rate(df, ["dev", "model"], 0.8).collect()}
     assert got == {"dev": 0.5, "model": 0.5}
+
+
+def test_exact_median_hot_group_spans_partitions(spark):
+    import statistics
+    rows = [("hot", float((i * 37) % 1001)) for i in range(2000)] + [("cold", 1.0), ("cold", 4.0), ("cold", 2.0), ("cold", 10.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.median for r in ST.exact_median(df, ["g"], "v", num_partitions=7).collect()}
+    assert got["hot"] == statistics.median([v for g, v in rows if g == "hot"])
+    assert got["cold"] == 3.0
