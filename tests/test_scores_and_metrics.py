@@ -105,3 +105,10 @@ def test_exact_median_hot_group_spans_partitions(spark):
     got = {r.g: r.median for r in ST.exact_median(df, ["g"], "v", num_partitions=7).collect()}
     assert got["hot"] == statistics.median([v for g, v in rows if g == "hot"])
     assert got["cold"] == 3.0
+
+
+def test_line_counts_match_splitlines(spark):
+    texts = ["a", "a\n", "a\n\nb", "  # c\nx = 1  # d\n\n", "\n", "def f():\n    pass\n"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = [r.loc for r in G.code_metrics(df, "t", "").collect()]
+    assert got == [len(x.splitlines()) for x in texts]
