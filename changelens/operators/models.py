@@ -11,7 +11,26 @@ from pyspark.sql import types as T
 
 from ..functions.text import _col, strip_ws
 
-_MODEL_CACHE: dict[str, object] = {}
+
+def _ship_by_value() -> None:
+    """Send this package's functions to Python workers by value, so workers need not have
+    it installed (pyspark's cloudpickle pickles importable modules by reference otherwise)."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    pkg = sys.modules.get(__name__.split(".")[0])
+    if pkg is not None:
+        try:
+            cloudpickle.register_pickle_by_value(pkg)
+        except (ValueError, AttributeError):
+            pass
+
+
+def _model_cache() -> dict:
+    """Per-process cache (survives across tasks in a reused Python worker)."""
+    import sys
+    return sys.__dict__.setdefault("_changelens_model_cache", {})
 
 
 def batch_model_apply(df: DataFrame, in_col: str, out_col: str, make_fn: Callable[[], Callable],
@@ -24,14 +43,16 @@ def batch_model_apply(df: DataFrame, in_col: str, out_col: str, make_fn: Callabl
     message instead of failing the job.  With ``distinct=True`` each distinct
     input is sent to the model once and the result joined back by hash.
     """
+    _ship_by_value()
     key = cache_key or f"{make_fn.__module__}.{getattr(make_fn, '__qualname__', id(make_fn))}"
     schema = T.StructType([T.StructField("value", out_type), T.StructField("error", T.StringType())])
 
     @F.pandas_udf(schema)
     def apply(texts: pd.Series) -> pd.DataFrame:
-        fn = _MODEL_CACHE.get(key)
+        cache = _model_cache()
+        fn = cache.get(key)
         if fn is None:
-            fn = _MODEL_CACHE[key] = make_fn()
+            fn = cache[key] = make_fn()
         vals = texts.where(texts.notna(), "").tolist()
         try:
             res, errs = list(fn(vals)), [None] * len(vals)
