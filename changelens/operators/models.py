@@ -12,17 +12,19 @@ from pyspark.sql import types as T
 from ..functions.text import _col, strip_ws
 
 
-def _ship_by_value() -> None:
-    """Send this package's functions to Python workers by value, so workers need not have
-    it installed (pyspark's cloudpickle pickles importable modules by reference otherwise)."""
+def _ship_by_value(*module_names: str) -> None:
+    """Send this package's functions (and the named modules) to Python workers by value, so
+    workers need not have them installed (cloudpickle pickles importable modules by reference)."""
     import sys
 
     from pyspark import cloudpickle
 
-    pkg = sys.modules.get(__name__.split(".")[0])
-    if pkg is not None:
+    for name in (__name__.split(".")[0], *module_names):
+        mod = sys.modules.get(name)
+        if mod is None or name in ("__main__", "builtins"):
+            continue
         try:
-            cloudpickle.register_pickle_by_value(pkg)
+            cloudpickle.register_pickle_by_value(mod)
         except (ValueError, AttributeError):
             pass
 
@@ -35,15 +37,18 @@ def _model_cache() -> dict:
 
 def batch_model_apply(df: DataFrame, in_col: str, out_col: str, make_fn: Callable[[], Callable],
                       out_type: T.DataType = T.StringType(), error_col: str = "error",
-                      cache_key: str | None = None, distinct: bool = True) -> DataFrame:
+                      cache_key: str | None = None, distinct: bool = True,
+                      ship_model_module: bool = True) -> DataFrame:
     """M1: apply ``make_fn()`` (built once per Python worker) to a column in Arrow batches.
 
     ``make_fn()`` returns ``f(list[str]) -> list[result]``.  A failing batch is
     retried row by row; a failing row yields a null result and an ``error``
     message instead of failing the job.  With ``distinct=True`` each distinct
     input is sent to the model once and the result joined back by hash.
+    ``ship_model_module`` pickles the module defining ``make_fn`` by value, for
+    model code that is not installed on the workers.
     """
-    _ship_by_value()
+    _ship_by_value(*([make_fn.__module__] if ship_model_module else []))
     key = cache_key or f"{make_fn.__module__}.{getattr(make_fn, '__qualname__', id(make_fn))}"
     schema = T.StructType([T.StructField("value", out_type), T.StructField("error", T.StringType())])
 
