@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import line_dedup, quality_rules
 from .base import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,35 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and learned verdict of every document (a learned list has no SQL; tests hold it to brute force)."""
     rated = quality_rules.rate_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return rated.select("doc_id", *quality_rules.BASE_STATS, "base_failed", "rule", "kept")
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of line runs of 50 words or more."""
+    return line_dedup.drop_repeated_lines(read(spark, sf_dir, "documents"), report=True).drop("runs")
+
+
+# windows of at least 50 words that are minimal from one side, named by their text
+ORACLE["op7_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+w AS (SELECT doc_id, i, line,
+             len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), x -> x <> '')) AS nw FROM l),
+c AS (SELECT doc_id, i, c1, c1 - nw AS c0 FROM
+      (SELECT doc_id, i, nw, sum(nw) OVER (PARTITION BY doc_id ORDER BY i) AS c1 FROM w)),
+s AS (SELECT doc_id, c0, max(i) AS a FROM c GROUP BY doc_id, c0),
+e AS (SELECT doc_id, c1, min(i) AS b FROM c GROUP BY doc_id, c1),
+win AS (
+  SELECT c.doc_id, s.a, c.i AS b FROM c ASOF JOIN s ON c.doc_id = s.doc_id AND c.c1 - 50 >= s.c0
+  UNION
+  SELECT c.doc_id, c.i, e.b FROM c ASOF JOIN e ON c.doc_id = e.doc_id AND c.c0 + 50 <= e.c1),
+named AS (SELECT win.doc_id, a, b, row_number() OVER
+            (PARTITION BY array_to_string(ls[a:b], chr(10)) ORDER BY win.doc_id, a) AS copy
+          FROM win JOIN d USING (doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM named WHERE copy > 1),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS text FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY l.doc_id),
+cnt AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(cnt.n, 0)::BIGINT AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN cnt USING (doc_id)
+"""
