@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules
+from . import jaccard_join, line_dedup, quality_rules
 from .base import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +37,7 @@ ORACLE["op7_line_dedup"] = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
 w AS (SELECT doc_id, i, line,
-             len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), x -> x <> '')) AS nw FROM l),
+             len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS nw FROM l),
 c AS (SELECT doc_id, i, c1, c1 - nw AS c0 FROM
       (SELECT doc_id, i, nw, sum(nw) OVER (PARTITION BY doc_id ORDER BY i) AS c1 FROM w)),
 s AS (SELECT doc_id, c0, max(i) AS a FROM c GROUP BY doc_id, c0),
@@ -56,3 +56,31 @@ SELECT d.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(cnt.n, 0)::BI
        CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN cnt USING (doc_id)
 """
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, links and copies of every document at five words and a similarity of 0.8."""
+    near = jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+    return near.select("doc_id", "class_id", "n_links", "n_copies", "class_size")
+
+
+ORACLE["op5_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+       FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+named AS (SELECT w.doc_id, k.n, coalesce(k.name, '') AS name FROM w LEFT JOIN
+          (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS name FROM sh GROUP BY doc_id) k USING (doc_id)),
+entry AS (SELECT name, min(doc_id) AS rep, max(n) AS n, count(*) AS n_copies FROM named GROUP BY name),
+es AS (SELECT e.rep, e.n, sh.s FROM entry e JOIN sh ON sh.doc_id = e.rep),
+pair AS (SELECT a.rep AS a, b.rep AS b FROM es a JOIN es b ON a.s = b.s AND a.rep < b.rep
+         GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
+link AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach(a, b) AS (SELECT rep, rep FROM entry UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+cls AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
+size AS (SELECT class_id, sum(n_copies)::BIGINT AS class_size FROM cls JOIN entry USING (rep) GROUP BY class_id),
+deg AS (SELECT a AS rep, count(*) AS n_links FROM link GROUP BY a)
+SELECT named.doc_id, cls.class_id, coalesce(deg.n_links, 0)::BIGINT AS n_links, entry.n_copies, size.class_size
+FROM named JOIN entry USING (name) JOIN cls USING (rep) JOIN size USING (class_id) LEFT JOIN deg USING (rep)
+"""
