@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, line_dedup, quality_rules
+from . import jaccard_join, line_dedup, mixing, packing, quality_rules
 from .base import read
 
+TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -84,3 +86,40 @@ deg AS (SELECT a AS rep, count(*) AS n_links FROM link GROUP BY a)
 SELECT named.doc_id, cls.class_id, coalesce(deg.n_links, 0)::BIGINT AS n_links, entry.n_copies, size.class_size
 FROM named JOIN entry USING (name) JOIN cls USING (rep) JOIN size USING (class_id) LEFT JOIN deg USING (rep)
 """
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document: 150 % of all words, sources weighted 3, 1, 2, at most two epochs."""
+    plan = mixing.plan_mix(read(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op9_mixing"] = r"""
+WITH RECURSIVE z AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                            lambda x: x <> ''))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+             CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight
+      FROM z GROUP BY source),
+fill(k, level) AS (
+  SELECT 0, 1.5::DOUBLE * sum(source_size) / sum(weight) FROM s
+  UNION ALL
+  SELECT k + 1, (SELECT (1.5::DOUBLE * sum(source_size) - coalesce(sum(2.0::DOUBLE * source_size) FILTER (level * weight >= 2.0::DOUBLE * source_size), 0))
+                        / sum(weight) FILTER (level * weight < 2.0::DOUBLE * source_size) FROM s)
+  FROM fill WHERE k < (SELECT count(*) FROM s)),
+top AS (SELECT max(level) AS level FROM fill),
+t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, level * weight) AS target FROM s, top),
+o AS (SELECT doc_id, size, source_size, target, floor(target / source_size)::BIGINT AS whole,
+             coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('mix:' || doc_id), doc_id
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+      FROM z JOIN t USING (source))
+SELECT doc_id, size, source_size, target,
+       (whole * size + least(size, greatest(0, round(target - whole * source_size)::BIGINT - before)))::BIGINT AS taken
+FROM o
+"""
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 2048 tokens along the Hilbert curve (a tokenizer has no SQL)."""
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))

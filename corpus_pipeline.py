@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changelens.llm import quality_rules
+from changelens.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
 from changelens.llm.base import read, written
 
 
@@ -13,8 +14,29 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality_rules.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality_rules", good_documents)]
-#: The first stage learns its rules from labels, which SQL can't state; tests hold each stage to brute force.
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 2: texts without later copies of line runs of 50 words or more."""
+    return line_dedup.drop_repeated_lines(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 3: one document of each class at five words and a similarity of 0.8."""
+    return jaccard_join.keep_one(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 4: the mix; a document comes once for every repetition."""
+    return mixing.mixed_documents(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 5: pieces of token sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", good_documents), ("line_dedup", fresh_lines), ("jaccard_join", one_of_each),
+          ("mixing", mixed_sources), ("packing", packed_sequences)]
+#: Learned rules and token ids have no SQL; tests hold each stage to brute force.
 ORACLE_SQL = None
 
 
