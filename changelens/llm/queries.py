@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, line_dedup, mixing, packing, quality_rules
+from . import fingerprints, jaccard_join, line_dedup, mixing, packing, quality_rules, toxicity
 from .base import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -123,3 +123,18 @@ FROM o
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of 2048 tokens along the Hilbert curve (a tokenizer has no SQL)."""
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model of the labels that aren't held out (a fitted model has no SQL)."""
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketch of every document and of its edited text, with likenesses (the hashes have no SQL)."""
+    return fingerprints.compare_edits(read(spark, sf_dir, "documents"))
