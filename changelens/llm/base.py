@@ -84,8 +84,8 @@ def shingle_hashes(text: str | None, k: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(acc)
 
 
-def ordered_totals(df: DataFrame, order: list[str], value: str, out: str, name: str) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over all rows before this one by ``order``.
+def ordered_totals(df: DataFrame, order: list[str], sums: dict[str, str], name: str) -> DataFrame:
+    """For each ``value: out`` of ``sums`` add ``out``: the sum of ``value`` over all rows before this one by ``order``.
 
     ``order`` must be unique over the rows.  The rows are range-partitioned and
     written once; each partition sums its own rows, and the partitions' totals
@@ -93,15 +93,15 @@ def ordered_totals(df: DataFrame, order: list[str], value: str, out: str, name:
     """
     parts = written(df.repartitionByRange(*[F.col(c) for c in order])
                     .withColumn("__part", F.spark_partition_id()), name)
-    totals = parts.groupBy("__part").agg(F.sum(value).alias("__total"))
+    totals = parts.groupBy("__part").agg(*[F.sum(v).alias(f"__total_{v}") for v in sums])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition, so a single task and a broadcast are bounded by the partition count
-    offsets = totals.select("__part", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__base"))
+    offsets = totals.select("__part", *[F.coalesce(F.sum(f"__total_{v}").over(before), F.lit(0)).alias(f"__base_{v}") for v in sums])
     inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = parts.withColumn("__local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    local = parts.withColumns({f"__local_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in sums})
     return (local.join(F.broadcast(offsets), "__part")
-            .withColumn(out, F.col("__base") + F.col("__local"))
-            .drop("__part", "__base", "__local"))
+            .withColumns({out: F.col(f"__base_{v}") + F.col(f"__local_{v}") for v, out in sums.items()})
+            .drop("__part", *[f"__{k}_{v}" for v in sums for k in ("base", "local")]))
 
 
 def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:

@@ -49,7 +49,7 @@ def rank_levels(repeated: DataFrame, deepest: int) -> DataFrame:
         after = level.select(*KEY, (F.col("pos") - 2 ** q).alias("pos"), F.col("r").alias("r2"))
         pairs = written(level.join(after, [*KEY, "pos"]), f"lines-pairs{q}")
         groups = pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).filter("n > 1")
-        ranked = ordered_totals(groups, ["r", "r2"], "n", "rank", f"lines-groups{q}")
+        ranked = ordered_totals(groups, ["r", "r2"], {"n": "rank"}, f"lines-groups{q}")
         level = written(pairs.join(ranked, ["r", "r2"]).select(*KEY, "pos", F.col("rank").alias("r")), f"lines-level{q + 1}")
         q += 1
         if level.isEmpty():
@@ -86,7 +86,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(__d, __h, runs): for each document with later copies, the line ranges [start, stop) to delete, in order."""
     lines = written(line_table(docs), "lines")
     ids = lines.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
-    ids = ordered_totals(ids, ["id"], "n", "r", "lines-ids").select("id", "r")
+    ids = ordered_totals(ids, ["id"], {"n": "r"}, "lines-ids").select("id", "r")
     repeated = written(lines.join(ids, "id").select(*KEY, "pos", "r", "nw").distinct(), "lines-level0")
     windows = written(_windows(repeated.drop("r"), min_words), "lines-windows")
     deepest = windows.agg(F.max("n")).first()[0] or 1

@@ -29,7 +29,7 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: float = MOST_EP
     per = sizes.groupBy("src").agg(F.sum("size").alias("source_size"))
     if weights is None:
         per = per.withColumn("__null", F.col("src").isNull().cast("int")).withColumn("__name", F.coalesce("src", F.lit("")))
-        per = ordered_totals(per.withColumn("__one", F.lit(1)), ["__null", "__name"], "__one", "__rank", "mix-sources")
+        per = ordered_totals(per.withColumn("__one", F.lit(1)), ["__null", "__name"], {"__one": "__rank"}, "mix-sources")
         nth = F.pmod(F.col("__rank"), F.lit(3))
         per = per.withColumn("weight", F.when(nth == 0, 3.0).when(nth == 1, 1.0).otherwise(2.0)).drop("__one", "__rank", "__null", "__name")
     else:
@@ -78,7 +78,7 @@ def plan_mix(docs: DataFrame, seed: str = SEED, share: float = SHARE, most: floa
     entry = (rows.groupBy(*same, "__draw", "doc_id", "size", "source_size", "target").agg(F.count("*").alias("copies"))
              .withColumn("__words", F.col("size") * F.col("copies")).withColumn("__null", F.col("src").isNull().cast("int"))
              .withColumn("__name", F.coalesce("src", F.lit(""))))
-    entry = ordered_totals(entry, ["__null", "__name", "__draw", "__d", "__h"], "__words", "__all", "mix-order")
+    entry = ordered_totals(entry, ["__null", "__name", "__draw", "__d", "__h"], {"__words": "__all"}, "mix-order")
     first = entry.groupBy("__null", "__name").agg(F.min("__all").alias("__from"))
     entry = entry.join(first, ["__null", "__name"]).withColumn("__before", F.col("__all") - F.col("__from"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)

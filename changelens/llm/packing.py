@@ -142,7 +142,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
         raise ValueError("length must be a power of two")
     coded = encoded(docs, tokenizer, end)
     # ties on the curve go by doc_id, then the hash of the text; equal rows in any order
-    places = ordered_totals(coded.select("row", "key", "doc_id", "__h", "n"), ["key", "doc_id", "__h", "row"], "n", "at", "pack-order")
+    places = ordered_totals(coded.select("row", "key", "doc_id", "__h", "n"), ["key", "doc_id", "__h", "row"], {"n": "at"}, "pack-order")
     total = coded.agg(F.sum("n")).first()[0] or 0
     full, rest = divmod(total, length)
     sizes = [1 << b for b in range(length.bit_length() - 1, -1, -1) if rest >> b & 1]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, line_dedup, mixing, packing, quality_rules, toxicity
+from . import chat_rotation, fingerprints, html_extract, jaccard_join, licenses, line_dedup, mixing, packing, quality_rules, toxicity
 from .base import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -138,3 +138,42 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketch of every document and of its edited text, with likenesses (the hashes have no SQL)."""
     return fingerprints.compare_edits(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page (parsing html has no SQL)."""
+    return html_extract.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the view of each of its speakers."""
+    return chat_rotation.rotate(read(spark, sf_dir, "conversations"))
+
+
+ORACLE["op3_chat_rotation"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker,
+                  replace(replace(coalesce(text, ''), '<|im_start|>', '<\|im_start|>'), '<|im_end|>', '<\|im_end|>') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+r AS (SELECT t.conv_id, perspective, turn, speaker, text,
+             '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system'
+                                    ELSE 'user name=' || speaker END || chr(10) AS head
+      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+s AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM r),
+o AS (SELECT *, row_number() OVER w - 1 AS position, coalesce(sum(length(rendered)) OVER
+             (PARTITION BY conv_id, perspective ORDER BY turn, speaker, md5(text) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start
+      FROM s WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn, speaker, md5(text)))
+SELECT conv_id, perspective, position, turn, speaker, rendered, char_start,
+       CASE WHEN speaker = perspective THEN char_start + length(head) END AS mask_start,
+       CASE WHEN speaker = perspective THEN char_start + length(rendered) - 1 END AS mask_end
+FROM o
+"""
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document as a file source/lang/doc_id (tests hold the cosine to brute force)."""
+    files = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string")).alias("path"), "text")
+    return licenses.scan(files).withColumnRenamed("id", "doc_id")
