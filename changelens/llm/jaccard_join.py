@@ -238,17 +238,18 @@ def verified(docs: DataFrame, members: DataFrame, threshold: float, words: int)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = NEAR, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, __d, __h, class_id, n_links, n_copies, class_size), one row for every row of ``docs``.
+    """(doc_id, __d, __h, root, class_id, n_links, n_copies, class_size), one row for every row of ``docs``.
 
     class_id: the least doc_id of the row's class, a connected component of
     texts linked at ``threshold`` or more; n_links: how many other shingle sets
     are linked to the row's; n_copies: rows with the row's own shingle set.
-    A class without any doc_id has a null class_id.
+    A class without any doc_id has a null class_id; root always names it.
     """
     ship(docs.sparkSession)
     signed = written(signatures(docs.select("doc_id", "text"), threshold, words), "near-signatures")
-    one = written(signed.groupBy("digest").agg(F.min(F.struct("__d", "__h")).alias("k"), F.count("*").alias("n_copies"))
-                  .select("digest", "k.__d", "k.__h", "n_copies"), "near-entries")
+    known = F.when(F.col("__d") != -(2 ** 63), F.col("__d"))
+    one = written(signed.groupBy("digest").agg(F.min(F.struct("__d", "__h")).alias("k"), F.min(known).alias("first_id"), F.count("*").alias("n_copies"))
+                  .select("digest", "k.__d", "k.__h", "first_id", "n_copies"), "near-entries")
     entries = signed.select("digest", "n", "nodes", "sketch", "__d", "__h").join(
         one.select("__d", "__h", "digest"), ["__d", "__h", "digest"], "left_semi").dropDuplicates(["digest"])
     entries = written(entries, "near-distinct")
@@ -259,24 +260,19 @@ def near_duplicates(docs: DataFrame, threshold: float = NEAR, words: int = SHING
     linked = written(verified(docs, members, threshold, words), "near-links")
     classes = components(linked.filter("digest != peer").select("digest", "peer"), "digest", "peer", "near-classes")
     links = linked.groupBy("digest").agg(F.sum("links").alias("n_links"))
-    known = F.when(F.col("__d") != -(2 ** 63), F.col("__d"))
     entry = (one.join(classes.withColumnRenamed("node", "digest"), "digest", "left").join(links, "digest", "left")
              .withColumn("root", F.coalesce("root", "digest")))
-    per_class = entry.groupBy("root").agg(F.min(known).alias("class_id"), F.sum("n_copies").alias("class_size"))
+    per_class = entry.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n_copies").alias("class_size"))
     entry = written(entry.join(per_class, "root").select(
-        "digest", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "class_size"), "near-result")
+        "digest", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "class_size"), "near-result")
     return (signed.select(known.alias("doc_id"), "__d", "__h", "digest").join(entry, "digest")
             .drop("digest"))
 
 
 def keep_one(docs: DataFrame, threshold: float = NEAR, words: int = SHINGLE_WORDS) -> DataFrame:
-    """One row of every class: the one with the least doc_id (then the least hash of its text); own columns only.
-
-    Rows without a class_id in which no row has a doc_id keep the row of the least text hash.
-    """
+    """One row of every class: the one with the least doc_id (rows without one last), then the least hash of its text; own columns only."""
     near = near_duplicates(docs, threshold, words)
-    cls = near.groupBy(F.coalesce("class_id", F.lit(-(2 ** 63))).alias("c"), F.when(F.col("class_id").isNull(), F.col("__h")).alias("h0"))
-    keepers = cls.agg(F.min(F.struct("__d", "__h")).alias("k")).select("k.__d", "k.__h")
+    keepers = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "__d", "__h")).alias("k")).select("k.__d", "k.__h")
     row = docs.select(F.struct("*").alias("__row"), *row_key())
     kept = row.join(keepers, ["__d", "__h"], "left_semi").dropDuplicates(["__d", "__h"])
     return kept.select("__row.*")

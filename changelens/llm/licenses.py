@@ -92,7 +92,7 @@ def own_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]], least:
             w, norm = weigh(found)
             for name, v, size in vectors:
                 dot = sum(x * w[t] for t, x in v.items() if t in w)
-                cosine = dot / (norm * size)
+                cosine = min(1.0, dot / (norm * size))
                 if cosine >= least and cosine > top[0] + 1e-12:
                     all_terms = all_terms or len(terms(text))
                     top = (cosine, name, len(found) / all_terms)

@@ -37,17 +37,17 @@ IDENTITY_TERMS = {
 #: Bounds of the sample of labelled rows that the model is fitted on.
 MOST_TOXIC = 4000
 MOST_CLEAN = 6000
-MOST_FEATURES = 20000
+MOST_FEATURES = 1000
 LEAST_DOCUMENTS = 5
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 
 _RUN = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def word_features(word: str) -> list[str]:
-    """The word itself (with an end mark) and its beginnings."""
-    return [word + "$", *(word[:n] for n in PREFIXES if len(word) >= n)]
+    """The word itself (with an end mark) and the beginnings that it continues."""
+    return [word + "$", *(word[:n] for n in PREFIXES if len(word) > n)]
 
 
 def features(text: str) -> set[str]:
@@ -172,7 +172,7 @@ def _fit(rows: list, size: int, ridge: float, strength: float, steps: int) -> tu
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, kinds: dict[str, tuple[str, ...]] = IDENTITY_TERMS, strength: float = 1.0,
-        ridge: float = 1e-4, steps: int = 200, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN,
+        ridge: float = 1e-3, steps: int = 200, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN,
         most_features: int = MOST_FEATURES, least_documents: int = LEAST_DOCUMENTS) -> Model:
     """Fit on a bounded sample of labelled texts (``most_toxic`` + ``most_clean`` rows on average).
 
