@@ -98,6 +98,9 @@ def with_statistics(docs: DataFrame, text: str = "text", carry: list[str] | None
         F.regexp_count("__text", F.lit("[!?]")).cast("long").alias("n_marks"),
         F.size("__full").cast("long").alias("n_lines"),
         F.size(F.array_distinct("__words")).cast("long").alias("n_distinct_words"))
+    # behind a generator: a filter on a statistic would else be pushed into the lambdas above and evaluate them over and over
+    found = [c for c in df.columns if c not in names]
+    df = df.select(*[F.col(f"`{c}`") for c in names], F.inline(F.array(F.struct(*found))))
     df = df.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
     return df.withColumns({k: F.expr(v).cast("double") for k, v in FEATURES.items()})
 
