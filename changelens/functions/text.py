@@ -31,9 +31,17 @@ def terms_regex(terms) -> str:
     return "|".join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", t) for t in seen)
 
 
+# The characters that Python's str.strip() and str.split() take as white space,
+# and those at which str.splitlines() ends a line (besides CR LF).
+SPACE_CLASS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+LINE_END = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x85\u2028\u2029]"
+
+
 def strip_ws(c) -> Column:
-    """Python ``str.strip()`` on ASCII whitespace (Spark ``trim`` strips spaces only)."""
-    return F.regexp_replace(F.regexp_replace(_col(c), r"^\s+", ""), r"\s+$", "")
+    """Python ``str.strip()`` (Spark ``trim`` strips spaces only)."""
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def normalize_message(c) -> Column:
@@ -70,7 +78,7 @@ def null_to_empty(c) -> Column:
 
 def is_blank(c) -> Column:
     """Null, empty or whitespace-only."""
-    return F.coalesce(F.length(F.regexp_replace(_col(c), r"\s", "")) == 0, F.lit(True))
+    return F.coalesce(F.length(strip_ws(c)) == 0, F.lit(True))
 
 
 def preview(c, n: int) -> Column:
@@ -81,7 +89,7 @@ def preview(c, n: int) -> Column:
 
 def first_token(c) -> Column:
     """P20: first whitespace-separated word; blank -> null."""
-    return F.nullif(F.regexp_extract(_col(c), r"(\S+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(_col(c), f"([^{SPACE_CLASS[1:]}+)", 1), F.lit(""))
 
 
 def squeeze_diff(c) -> Column:
@@ -90,9 +98,9 @@ def squeeze_diff(c) -> Column:
 
 
 def whitespace_tokens(c) -> Column:
-    """Python ``str.split()`` tokens (ASCII whitespace); blank -> empty array."""
+    """Python ``str.split()`` tokens; blank -> empty array."""
     s = strip_ws(_col(c))
-    return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, r"\s+"))
+    return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, f"{SPACE_CLASS}+"))
 
 
 def truncate_tokens(c, max_tokens: int = 512) -> Column:
@@ -107,17 +115,32 @@ ECHO_LEAD_IN = r"(?i)^create a (new )?commit message.*?:\s*"
 def model_text_cleanup(c) -> Column:
     """Strip; drop the echoed lead-in; first non-blank line (trimmed), else the text."""
     t = strip_ws(F.regexp_replace(strip_ws(_col(c)), ECHO_LEAD_IN, ""))
-    lines = F.filter(F.split(t, r"\r\n|\r|\n"), lambda x: F.length(strip_ws(x)) > 0)
+    lines = F.filter(F.split(t, LINE_END), lambda x: F.length(strip_ws(x)) > 0)
     return F.coalesce(strip_ws(F.get(lines, 0)), t)
 
 
 def lines(c) -> Column:
-    """Python ``splitlines()``: split on CR LF / CR / LF, no trailing empty element, '' -> []."""
+    """Python ``splitlines()``: no trailing empty element, '' -> []."""
     x = _col(c)
-    body = F.regexp_replace(x, r"(?:\r\n|\r|\n)\z", "")
-    return F.when(F.length(x) == 0, F.array().cast("array<string>")).otherwise(F.split(body, r"\r\n|\r|\n"))
+    body = F.regexp_replace(x, rf"(?:{LINE_END})\z", "")
+    return F.when(F.length(x) == 0, F.array().cast("array<string>")).otherwise(F.split(body, LINE_END))
+
+
+def text_digest(c) -> Column:
+    """128-bit identity of a text (null counts as empty), for joins that must not mix up texts."""
+    return F.unhex(F.md5(F.coalesce(_col(c), F.lit(""))))
+
+
+def whole_json(c, element: str) -> Column:
+    """The text parsed as one JSON value of type ``element``; null if it isn't, also when text follows the value.
+
+    Wrapped in brackets, so that trailing text breaks the parse instead of
+    being passed over.
+    """
+    parsed = F.from_json(F.concat(F.lit("["), _col(c), F.lit("]")), f"array<{element}>")
+    return F.when(F.size(parsed) == 1, F.get(parsed, 0))
 
 
 def is_json_object(c) -> Column:
-    """True when the text parses as a JSON object (``json_object_keys`` is null otherwise)."""
-    return F.json_object_keys(_col(c)).isNotNull()
+    """True when the whole text is one JSON object."""
+    return whole_json(c, "map<string,string>").isNotNull()

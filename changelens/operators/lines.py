@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import diffs as D
-from ..functions.paths import path_category
-from ..functions.text import is_json_object, lines, squeeze_diff, strip_ws
+from ..functions.text import lines, squeeze_diff, strip_ws, whole_json
 
 DISCREPANCY_MODES = ("both", "compat", "none")
 
@@ -33,8 +32,7 @@ def discrepancy(df: DataFrame, diff_col: str = "diff", hist_col: str = "diff_his
         raise ValueError(f"normalize must be one of {DISCREPANCY_MODES}")
     text = squeeze_diff(F.col(diff_col)) if normalize in ("both", "compat") else F.col(diff_col)
     # staged: each intermediate is a column, so no large expression is re-derived per use
-    d = df.withColumns({"__lines": lines(text), "__hist": F.from_json(F.col(hist_col), D.hist_schema()),
-                        "__bad": ~is_json_object(hist_col)})
+    d = df.withColumns({"__lines": lines(text), "__hist": whole_json(hist_col, D.hist_schema())})
 
     def hist_side(side):
         arr = F.transform(F.coalesce(F.col("__hist")[side], F.array()), lambda s: strip_ws(s["line"]))
@@ -43,30 +41,23 @@ def discrepancy(df: DataFrame, diff_col: str = "diff", hist_col: str = "diff_his
     d = d.withColumns({"__am": D.signed_lines("__lines", "+"), "__dm": D.signed_lines("__lines", "-"),
                        "__ah": hist_side("added"), "__dh": hist_side("deleted")})
     same = D.same_line_sets("__am", "__ah") & D.same_line_sets("__dm", "__dh")
-    return d.withColumn(out, F.when(F.col("__bad"), "Error").when(same, "Yes").otherwise("No")).drop(
-        "__lines", "__hist", "__bad", "__am", "__dm", "__ah", "__dh")
+    return d.withColumn(out, F.when(F.col("__hist").isNull(), "Error").when(same, "Yes").otherwise("No")).drop(
+        "__lines", "__hist", "__am", "__dm", "__ah", "__dh")
 
 
-def file_type(df: DataFrame, path_col: str = "new_file_path", out: str = "file_type") -> DataFrame:
-    """P18 as a transform."""
-    return df.withColumn(out, path_category(path_col))
+def line_delta(df: DataFrame, keys: list[str], before: str = "before", after: str = "after") -> DataFrame:
+    """(keys, side, line) for every line that one version has more often than the other, as multisets.
 
-
-def explode_lines(df: DataFrame, text_col: str, keys: list[str], line_no: str = "line_no",
-                  line: str = "line") -> DataFrame:
-    """one row per line (``splitlines`` semantics), numbered from 0."""
-    return df.select(*keys, F.posexplode(lines(text_col)).alias(line_no, line))
-
-
-def line_delta(df: DataFrame, keys: list[str], before: str = "before", after: str = "after") -> tuple[DataFrame, DataFrame]:
-    """(added, deleted) lines between two versions as multisets, keyed by ``keys``.
-
-    ``EXCEPT ALL`` each way; Spark plans it as one aggregate over a tagged union,
-    so a big file is spread over many (key, line) groups rather than one task.
+    Both versions are exploded in one pass and counted with a sign per (keys,
+    line), so a big file is spread over many groups; the surplus is repeated.
     """
-    b = df.select(*keys, F.explode(lines(before)).alias("line"))
-    a = df.select(*keys, F.explode(lines(after)).alias("line"))
-    return a.exceptAll(b), b.exceptAll(a)
+    def tagged(c, sign):
+        return F.transform(F.coalesce(lines(c), F.array()), lambda x: F.struct(x.alias("line"), F.lit(sign).alias("sign")))
+
+    both = df.select(*keys, F.explode(F.concat(tagged(after, 1), tagged(before, -1))).alias("__l"))
+    net = both.groupBy(*keys, F.col("__l.line").alias("line")).agg(F.sum("__l.sign").alias("__n")).where("__n != 0")
+    return net.select(*keys, F.when(F.col("__n") > 0, "added").otherwise("deleted").alias("side"),
+                      F.explode(F.array_repeat("line", F.abs("__n").cast("int"))).alias("line"))
 
 
 def changed_files(old: DataFrame, new: DataFrame, keys: list[str], path: str = "path",

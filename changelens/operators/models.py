@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import _col, strip_ws
+from ..functions.text import text_digest, whitespace_tokens
 
 
 def _ship_by_value(*module_names: str) -> None:
@@ -44,7 +44,8 @@ def batch_model_apply(df: DataFrame, in_col: str, out_col: str, make_fn: Callabl
     ``make_fn()`` returns ``f(list[str]) -> list[result]``.  A failing batch is
     retried row by row; a failing row yields a null result and an ``error``
     message instead of failing the job.  With ``distinct=True`` each distinct
-    input is sent to the model once and the result joined back by hash.
+    input is sent to the model once and the result joined back by a 128-bit digest.
+    A batch of another length than its input counts as failing.
     ``ship_model_module`` pickles the module defining ``make_fn`` by value, for
     model code that is not installed on the workers.
     """
@@ -61,22 +62,26 @@ def batch_model_apply(df: DataFrame, in_col: str, out_col: str, make_fn: Callabl
         vals = texts.where(texts.notna(), "").tolist()
         try:
             res, errs = list(fn(vals)), [None] * len(vals)
+            if len(res) != len(vals):
+                raise ValueError(f"{len(res)} results for {len(vals)} inputs")
         except Exception:  # noqa: BLE001 - isolate the failing row(s)
             res, errs = [], []
             for v in vals:
                 try:
-                    res.append(fn([v])[0])
+                    one = list(fn([v]))
+                    if len(one) != 1:
+                        raise ValueError(f"{len(one)} results for 1 input")
+                    res.append(one[0])
                     errs.append(None)
                 except Exception as e:  # noqa: BLE001
                     res.append(None)
-                    errs.append(f"{type(e).__name__}: {e}"[:500])
+                    errs.append(f"{type(e).__name__}: {e}")
         return pd.DataFrame({"value": res, "error": errs})
 
     if not distinct:
         r = df.withColumn("__m", apply(F.col(in_col)))
         return r.withColumns({out_col: F.col("__m.value"), error_col: F.col("__m.error")}).drop("__m")
-    h = F.xxhash64(F.coalesce(F.col(in_col), F.lit("")))
-    keyed = df.withColumn("__th", h)
+    keyed = df.withColumn("__th", text_digest(in_col))
     uniq = keyed.select("__th", in_col).dropDuplicates(["__th"])
     scored = uniq.select("__th", apply(F.col(in_col)).alias("__m")).select(
         "__th", F.col("__m.value").alias(out_col), F.col("__m.error").alias(error_col))
@@ -89,20 +94,8 @@ def hashed_embedding(c, dim: int = 64) -> Column:
     Deterministic, JVM-side, and reproducible in SQL; blank text -> zero vector,
     as the reference does for blank / missing text.  Real models go through M1.
     """
-    s = strip_ws(_col(c))
-    toks = F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, r"\s+"))
-    # bucket = (first 8 hex digits of md5 as an integer) mod dim; for dim dividing 256 only the
-    # 7th and 8th hex digits matter, read with a cheap lookup instead of a base conversion
-    if 256 % dim == 0:
-        def bucket(tk):
-            h = F.md5(tk)
-            def digit(i):
-                return F.instr(F.lit("0123456789abcdef"), F.substring(h, i, 1)) - 1
-            return (digit(7) * 16 + digit(8)) % dim
-    else:
-        def bucket(tk):
-            return F.conv(F.substring(F.md5(tk), 1, 8), 16, 10).cast("bigint") % dim
-    buckets = F.transform(toks, bucket)
+    # bucket = (first 8 hex digits of md5 as an integer) mod dim
+    buckets = F.transform(whitespace_tokens(c), lambda tk: F.conv(F.substring(F.md5(tk), 1, 8), 16, 10).cast("bigint") % dim)
     # count per bucket = size - size after removing it: native, codegen'd array work,
     # one md5 per token and no per-bucket lambda evaluation
     return F.array(*[(F.size(buckets) - F.size(F.array_remove(buckets, j))).cast("double") for j in range(dim)])

@@ -135,25 +135,22 @@ SELECT hash, seq, 'deleted' AS side, line FROM (
   SELECT hash, seq, unnest({sql_lines('after')}) AS line FROM v_change) d""")
 def line_delta_q(t):
     """Multiset line difference both ways."""
-    added, deleted = L.line_delta(V.v_change(t), ["hash", "seq"])
-    return (added.withColumn("side", F.lit("added"))
-            .unionByName(deleted.withColumn("side", F.lit("deleted"))).select("hash", "seq", "side", "line"))
+    return L.line_delta(V.v_change(t), ["hash", "seq"])
 
 
 @register("changed_files", sql="""
-SELECT coalesce(o.conv_id, n.conv_id) AS conv_id, coalesce(o.path, n.path) AS path,
+WITH c AS (SELECT conv_id, turn // 2 AS snap, 'turn' || (turn % 2) AS path, text FROM conversations),
+o AS (SELECT conv_id, snap + 1 AS snap, path, text FROM c WHERE (conv_id, snap + 1) IN (SELECT (conv_id, snap) FROM c))
+SELECT coalesce(o.conv_id, n.conv_id) AS conv_id, coalesce(o.snap, n.snap) AS snap, coalesce(o.path, n.path) AS path,
        CASE WHEN o.conv_id IS NULL THEN 'Added' WHEN n.conv_id IS NULL THEN 'Deleted' ELSE 'Modified' END AS change
-FROM (SELECT conv_id, 'turn' || (turn % 2) AS path, text FROM conversations WHERE turn <= 1) o
-FULL OUTER JOIN (SELECT conv_id, 'turn' || (turn % 2) AS path, text FROM conversations WHERE turn BETWEEN 2 AND 3) n
-  ON o.conv_id = n.conv_id AND o.path = n.path
+FROM o FULL OUTER JOIN c n ON o.conv_id = n.conv_id AND o.snap = n.snap AND o.path = n.path
 WHERE o.conv_id IS NULL OR n.conv_id IS NULL OR o.text <> n.text""")
 def changed_files_q(t):
-    """Files changed between two snapshots of each conversation (turns 0-1 vs 2-3)."""
-    c = t.conversations.select("conv_id", "turn", F.concat(F.lit("turn"), (F.col("turn") % 2).cast("string")).alias("path"),
-                               F.col("text").alias("content"))
-    old = c.where(F.col("turn") <= 1)
-    new = c.where(F.col("turn").between(2, 3))
-    return L.changed_files(old, new, ["conv_id"], "path", "content")
+    """Files changed between every two consecutive snapshots of a conversation (two turns each)."""
+    new = t.conversations.select("conv_id", F.floor(F.col("turn") / 2).alias("snap"), F.concat(F.lit("turn"), (F.col("turn") % 2).cast("string")).alias("path"),
+                                 F.col("text").alias("content"))
+    old = new.withColumn("snap", F.col("snap") + 1).join(new.select("conv_id", "snap").distinct(), ["conv_id", "snap"], "left_semi")
+    return L.changed_files(old, new, ["conv_id", "snap"], "path", "content")
 
 
 # ---------------------------------------------------------------- ordered rows
@@ -186,11 +183,16 @@ def row_cap_q(t):
 
 
 @register("commit_order", views=("v_commit",), sql="""
-SELECT hash, committed_at FROM v_commit ORDER BY committed_at DESC, hash DESC LIMIT 100""")
+SELECT hash, committed_at FROM v_commit ORDER BY committed_at DESC, hash DESC""")
 def commit_order_q(t):
-    """Newest-first traversal (draft miner), first 100 commits."""
-    return R.commit_order(V.v_commit(t), "committed_at", "hash", oldest_first=False).select(
-        "hash", "committed_at").limit(100)
+    """Newest-first traversal (draft miner)."""
+    return R.commit_order(V.v_commit(t), "committed_at", "hash", oldest_first=False).select("hash", "committed_at")
+
+
+@register("commit_order_oldest", views=("v_commit",), sql="SELECT hash, committed_at FROM v_commit ORDER BY committed_at, hash")
+def commit_order_oldest_q(t):
+    """Oldest-first traversal (final miner)."""
+    return R.commit_order(V.v_commit(t), "committed_at", "hash").select("hash", "committed_at")
 
 
 @register("count_sort", views=("v_file",), sql="""
@@ -202,13 +204,19 @@ def count_sort_q(t):
     return value_counts(V.v_file(t), path_extension("path"))
 
 
-@register("random_sample")
+_DRAWS = 200
+
+
+@register("random_sample", sql=f"""
+WITH r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
+d AS (SELECT draw, ('0x' || substr(md5('7:' || draw), 1, 12))::BIGINT AS h FROM range({_DRAWS}) t(draw))
+SELECT d.draw, doc_id, lang FROM d JOIN r ON r.i = d.h % r.n""")
 def random_sample_q(t):
-    """L4: seeded sample with replacement (size approximate; rows-only check)."""
-    return R.random_sample(t.documents.select("doc_id", "lang"), 0.1, seed=7)
+    """L4: 200 seeded draws with replacement."""
+    return R.random_sample(t.documents.select("doc_id", "lang"), _DRAWS, ["doc_id"], seed=7)
 
 
-@register("hash_sample")
+@register("hash_sample", sql="SELECT doc_id, lang FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 25")
 def hash_sample_q(t):
-    """L4, exact-n variant: 25 rows by seeded hash."""
+    """L4 without replacement: 25 rows by seeded hash."""
     return R.hash_sample(t.documents.select("doc_id", "lang"), 25, ["doc_id"], seed=7)

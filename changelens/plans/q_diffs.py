@@ -9,15 +9,9 @@ from ..operators import lines as L
 from ..operators.stats import status_by_category
 from . import views as V
 from .registry import register
+from .sqlfrag import kind, strip as sql_strip
 from .views import sql_lines
 
-STRIP = "regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
-
-
-def sql_strip(x: str) -> str:
-    return STRIP.format(x=x)
-
-
 def sql_signed(text: str, sign: str) -> str:
     dbl = sign + sign
     return (f"list_transform(list_filter({sql_lines(text)}, lambda x: starts_with(x, '{sign}') AND NOT starts_with(x, '{dbl}')),"
@@ -25,9 +19,6 @@ def sql_signed(text: str, sign: str) -> str:
 
 
 SQL_SQUEEZE = "replace(replace(diff, ' ', ''), chr(10) || chr(10), chr(10))"
-SQL_KIND = ("CASE WHEN {p} IS NULL THEN 'Unknown' WHEN contains(lower({p}), 'test') THEN 'Test' "
-            "WHEN contains(lower({p}), 'readme') THEN 'README' WHEN contains(lower({p}), 'license') THEN 'LICENSE' "
-            "ELSE 'Source' END")
 
 
 def sql_same(a: str, b: str) -> str:
@@ -50,7 +41,7 @@ def sql_discrepancy(mode: str = "both") -> str:
 
 @register("diff_discrepancy_report", views=("v_diff",), sql=f"""
 SELECT discrepancy, file_type, count(*) AS n FROM (
-  SELECT {sql_discrepancy('both')} AS discrepancy, {SQL_KIND.format(p='path')} AS file_type FROM v_diff) d
+  SELECT {sql_discrepancy('both')} AS discrepancy, {kind('path')} AS file_type FROM v_diff) d
 WHERE discrepancy IN ('Yes', 'No') GROUP BY discrepancy, file_type""")
 def diff_discrepancy_report(t):
     """E-3: the flagship query."""
@@ -75,7 +66,7 @@ def discrepancy_compat_q(t):
 
 @register("status_by_category", views=("v_diff",), sql=f"""
 SELECT discrepancy, file_type, count(*) AS n FROM (
-  SELECT {sql_discrepancy('compat')} AS discrepancy, {SQL_KIND.format(p='path')} AS file_type FROM v_diff) d
+  SELECT {sql_discrepancy('compat')} AS discrepancy, {kind('path')} AS file_type FROM v_diff) d
 WHERE discrepancy IN ('Yes', 'No') GROUP BY discrepancy, file_type""")
 def status_by_category_q(t):
     """A13 over the reference-compatible discrepancy."""
@@ -93,7 +84,7 @@ def status_filter_q(t):
 
 
 @register("path_category", views=("v_change",), sql=f"""
-SELECT hash, seq, {SQL_KIND.format(p='path')} AS file_type FROM v_change""")
+SELECT hash, seq, {kind('path')} AS file_type FROM v_change""")
 def path_category_q(t):
     """P18."""
     return V.v_change(t).select("hash", "seq", path_category("path").alias("file_type"))

@@ -6,8 +6,12 @@ from ..functions.text import BUG_TERMS, terms_regex
 from .views import sql_lines  # noqa: F401
 
 
+# Python's white space, in the regex syntax of the oracle
+SPACE = "[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
+    return f"regexp_replace(regexp_replace({x}, '^{SPACE}+', ''), '{SPACE}+$', '')"
 
 
 def normalize(x: str) -> str:
@@ -20,7 +24,7 @@ def quote_terms(terms=BUG_TERMS) -> str:
 
 def tokens(x: str) -> str:
     s = strip(x)
-    return f"(CASE WHEN length({s}) = 0 THEN []::VARCHAR[] ELSE string_split_regex({s}, '\\s+') END)"
+    return f"(CASE WHEN length({s}) = 0 THEN []::VARCHAR[] ELSE string_split_regex({s}, '{SPACE}+') END)"
 
 
 def kind(p: str) -> str:
