@@ -19,6 +19,7 @@ from ..streaming.incremental import incremental_ingest
 from . import views as V
 from .q_metrics import _G4_SQL
 from .registry import register
+from .sqlfrag import quote_terms
 
 EVENT_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()),
                              T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
@@ -52,11 +53,14 @@ def csv_lenient_scan_q(t):
     return good
 
 
-@register("csv_quarantine", sql="SELECT event_id, event_type FROM events WHERE event_type = 'error'")
+@register("csv_quarantine", sql="""
+SELECT event_id, event_type, '"' || replace(props, '"', '""') || '"' AS props_raw, ',extra' AS tail, 'extra' AS extra FROM events WHERE event_type = 'error'""")
 def csv_quarantine_q(t):
-    """Quarantined side (rows with too many fields)."""
+    """Quarantined side (rows with too many fields), with the raw record and the extra fields."""
     _, bad = CSV.csv_lenient_scan(t.spark, _ragged_events_csv(t), EVENT_SCHEMA, header=False)
-    return bad.select("event_id", "event_type")
+    head = F.regexp_extract("raw", r"^[^,]*,[^,]*,[^,]*,(.*),extra\s*$", 1)
+    return bad.select("event_id", "event_type", head.alias("props_raw"), F.regexp_extract("raw", r"(,extra)\s*$", 1).alias("tail"),
+                      F.array_join("extra", ",").alias("extra"))
 
 
 @register("csv_strict_scan", sql="SELECT event_id, event_type, value, props FROM events")
@@ -97,9 +101,15 @@ def subset_sink_q(t):
 @register("dead_letter_sink", views=("v_code",), sql=f"SELECT hash, 'metrics' AS stage, error FROM ({_G4_SQL}) g WHERE error IS NOT NULL")
 def dead_letter_sink_q(t):
     """Failed metric rows recorded as (key, stage, error); the run goes on."""
-    good, dead = RS.split_dead_letters(G.code_change_metrics(V.v_code(t)), "error", ["hash"], "metrics")
-    path = CSV.table_sink(dead, scratch_path(t.spark, "dead"))
-    return t.spark.read.parquet(path)
+    _, dead = RS.split_dead_letters(G.code_change_metrics(V.v_code(t)), "error", ["hash"], "metrics", scratch_path(t.spark, "metrics"))
+    return dead
+
+
+@register("dead_letter_good", views=("v_code",), sql=f"SELECT hash, mi_change, loc_change FROM ({_G4_SQL}) g WHERE error IS NULL")
+def dead_letter_good_q(t):
+    """The good side of the same split."""
+    good, _ = RS.split_dead_letters(G.code_change_metrics(V.v_code(t)), "error", ["hash"], "metrics", scratch_path(t.spark, "metrics"))
+    return good.select("hash", F.round("mi_change", 6).alias("mi_change"), "loc_change")
 
 
 @register("resume_append", views=("v_file",), sql="SELECT hash, path, file_pos FROM v_file")
@@ -113,11 +123,13 @@ def resume_append_q(t):
     return t.spark.read.parquet(out)
 
 
-@register("batch_checkpoint")
+@register("batch_checkpoint", views=("v_file",), sql="SELECT hash, path, file_pos FROM v_file")
 def batch_checkpoint_q(t):
-    """Results written in hash batches; a rerun skips finished batches (rows-only check)."""
+    """Results written in hash batches; a rerun adds the rows that arrived late."""
     out = scratch_path(t.spark, "batches")
-    return RS.batch_checkpoint(V.v_file(t).select("hash", "path", "file_pos"), out, ["hash", "path"], 16)
+    files = V.v_file(t).select("hash", "path", "file_pos")
+    RS.batch_checkpoint(files.where("hash % 3 != 0"), out, ["hash", "path"], 16)
+    return RS.batch_checkpoint(files, out, ["hash", "path"], 16).drop("batch_id")
 
 
 @register("nested_column_io", views=("v_commit",), sql="""
@@ -143,7 +155,7 @@ def tri_state_parse_q(t):
 
 @register("run_counters", views=("v_commit",), sql=f"""
 SELECT count(*) AS rows, count_if(regexp_matches(translate(regexp_replace(regexp_replace(lower(message), '^\\s+', ''), '\\s+$', ''),
-       chr(10) || chr(13), '  '), '{__import__('changelens.functions.text', fromlist=['x']).terms_regex(__import__('changelens.functions.text', fromlist=['x']).BUG_TERMS)}')) AS bug_fix,
+       chr(10) || chr(13), '  '), '{quote_terms()}')) AS bug_fix,
        count_if(len(parents) > 1) AS merges FROM v_commit""")
 def run_counters_q(t):
     """Commits seen, bug-fixing commits and merges, counted in one pass."""
@@ -151,12 +163,14 @@ def run_counters_q(t):
     return RS.counters_table(c, bug_fix=contains_any(normalize_message("message")), merges=F.size("parents") > 1)
 
 
-@register("incremental_ingest", sql="SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem")
+@register("incremental_ingest", sql="SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem")
 def incremental_ingest_q(t):
     """Streaming file source, availableNow trigger, anti-join append per micro-batch."""
     spark = t.spark
     schema = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").schema
     out, ck = scratch_path(spark, "ingest-out"), scratch_path(spark, "ingest-ckpt")
-    incremental_ingest(spark, t.sf_dir, schema, out, ck, ["l_orderkey", "l_linenumber", "l_partkey"],
-                       file_glob="lineitem.parquet")
+    # the table may be one file or a folder of part files
+    source = scratch_path(spark, "ingest-in")
+    t.lineitem.select(*schema.names).write.parquet(source)
+    incremental_ingest(spark, source, schema, out, ck, ["l_orderkey", "l_linenumber", "l_partkey"])
     return spark.read.parquet(out)

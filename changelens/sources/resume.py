@@ -8,16 +8,16 @@ from pyspark.sql.utils import AnalysisException
 
 
 def split_dead_letters(df: DataFrame, error_col: str, key_cols: list[str], stage: str,
-                       persist: bool = True) -> tuple[DataFrame, DataFrame]:
+                       path: str) -> tuple[DataFrame, DataFrame]:
     """(good, dead) from one result with an ``error`` column.
 
-    The result is persisted once (spillable, recomputable from lineage if an
-    executor is lost) so the two filters do not recompute the stage.
+    The result is written once under ``path`` (partitioned by failed or not), so
+    both sides are read from there and the stage isn't computed again.
     """
-    src = df.persist() if persist else df
-    good = src.where(F.col(error_col).isNull())
-    dead = src.where(F.col(error_col).isNotNull()).select(
-        *key_cols, F.lit(stage).alias("stage"), F.col(error_col).alias("error"))
+    df.withColumn("_failed", F.col(error_col).isNotNull()).write.mode("overwrite").partitionBy("_failed").parquet(path)
+    both = df.sparkSession.read.schema(df.withColumn("_failed", F.lit(True)).schema).parquet(path)
+    good = both.where("NOT _failed").drop("_failed")
+    dead = both.where("_failed").select(*key_cols, F.lit(stage).alias("stage"), F.col(error_col).alias("error"))
     return good, dead
 
 
@@ -27,27 +27,31 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def resume_append(new: DataFrame, out_path: str, keys: list[str], fmt: str = "parquet") -> DataFrame:
-    """Append only rows whose keys are not in the existing output; return what was appended.
+def committed(spark: SparkSession, path: str, columns: list[str], fmt: str) -> DataFrame | None:
+    """The named columns of an earlier output; None if there is none or nothing was committed to it yet.
 
-    Exactly-once per key across reruns: the anti-join against the committed
-    output is part of the same job that appends, and Spark's commit protocol
-    makes each append all-or-nothing.  Running it twice appends nothing new.
+    Any other fault, such as a missing column, is raised.
     """
-    spark = new.sparkSession
-    if _exists(spark, out_path):
-        try:
-            done = spark.read.format(fmt).load(out_path).select(*keys)
-            pending = new.join(done, keys, "left_anti")
-        except AnalysisException:  # an empty folder (no committed files yet)
-            pending = new
-    else:
-        pending = new
-    # materialise what will be appended first, so the returned frame does not
-    # re-evaluate the anti-join against the grown output
-    ckpt = pending.checkpoint(eager=True)
-    ckpt.write.mode("append").format(fmt).save(out_path)
-    return ckpt
+    if not _exists(spark, path):
+        return None
+    try:
+        old = spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # an empty folder
+            return None
+        raise
+    return old.select(*columns)
+
+
+def resume_append(new: DataFrame, out_path: str, keys: list[str], fmt: str = "parquet") -> None:
+    """Append the rows whose keys are not in the existing output.
+
+    The anti-join against the committed output feeds the append itself, one job
+    whose commit is all-or-nothing; a second run appends nothing.
+    """
+    done = committed(new.sparkSession, out_path, keys, fmt)
+    pending = new if done is None else new.join(done, keys, "left_anti")
+    pending.write.mode("append").format(fmt).save(out_path)
 
 
 def batch_id(keys: list[str], n_batches: int):
@@ -57,23 +61,18 @@ def batch_id(keys: list[str], n_batches: int):
 
 def batch_checkpoint(df: DataFrame, out_path: str, keys: list[str], n_batches: int,
                      fmt: str = "parquet") -> DataFrame:
-    """Write results partitioned by batch id; a batch folder is complete or absent.
+    """Write results partitioned by batch id; a rerun adds the rows that aren't there yet.
 
-    Batches already present in ``out_path`` are skipped (resume), the rest are
-    written with dynamic partition overwrite, so a rerun after a failure
-    redoes only unfinished batches.
+    A batch's rows are found by (batch, keys), so late rows of a written batch
+    are added to it, and a rerun after a failure writes what is missing.
     """
     spark = df.sparkSession
-    b = df.withColumn("batch_id", batch_id(keys, n_batches))
-    if _exists(spark, out_path):
-        try:
-            finished = spark.read.format(fmt).load(out_path).select("batch_id").distinct()
-            b = b.join(F.broadcast(finished), "batch_id", "left_anti")  # at most n_batches rows
-        except AnalysisException:
-            pass
-    (b.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-      .partitionBy("batch_id").format(fmt).save(out_path))
-    return spark.read.format(fmt).load(out_path)
+    b = df.withColumn("batch_id", batch_id(keys, n_batches).cast("int"))
+    done = committed(spark, out_path, ["batch_id", *keys], fmt)
+    if done is not None:
+        b = b.join(done, ["batch_id", *keys], "left_anti")
+    b.write.mode("append").partitionBy("batch_id").format(fmt).save(out_path)
+    return spark.read.schema(b.schema).format(fmt).load(out_path)
 
 
 def run_counters(df: DataFrame, name: str, **conditions) -> tuple[DataFrame, Observation]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..sources.resume import _exists
+from ..sources.resume import committed
 
 
 def incremental_ingest(spark: SparkSession, source_path: str, schema: T.StructType, out_path: str,
@@ -14,21 +14,26 @@ def incremental_ingest(spark: SparkSession, source_path: str, schema: T.StructTy
     """Process every file not yet seen under the folder ``source_path`` and append new keys to ``out_path``.
 
     File source + ``trigger(availableNow=True)``: each run picks up only new
-    files (tracked in the checkpoint), and ``foreachBatch`` anti-joins the
-    micro-batch against the committed output, so a replayed batch after a
-    failure appends nothing twice.  Blocks until the available data is done.
+    files (tracked in the checkpoint), and ``foreachBatch`` keeps one row per key
+    of the micro-batch and anti-joins it against the committed output.  So every
+    key is appended once, whatever the layout of the files, and a replayed batch
+    after a failure appends nothing twice.  Blocks until the available data is
+    done.  A folder without matching files is an error.
     """
+    found = spark.read.schema(schema).format(fmt)
     reader = spark.readStream.schema(schema).format(fmt)
     if file_glob:
-        reader = reader.option("pathGlobFilter", file_glob)
+        found, reader = found.option("pathGlobFilter", file_glob), reader.option("pathGlobFilter", file_glob)
+    if not found.load(source_path).inputFiles():
+        raise ValueError(f"no files to ingest under {source_path}")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(source_path)
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:
-        new = batch
-        if _exists(spark, out_path):
-            done = spark.read.format(fmt).load(out_path).select(*keys)
+        new = batch.dropDuplicates(keys)
+        done = committed(spark, out_path, keys, fmt)
+        if done is not None:
             new = new.join(done, keys, "left_anti")
         new.write.mode("append").format(fmt).save(out_path)
 
