@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import path_category
-from ..functions.text import one_line
+from ..functions.paths import path_category, path_extension
+from ..functions.text import model_text_cleanup, one_line
 from ..operators import changes as C
 from ..operators import classify as K
 from ..operators import codemetrics as G
@@ -14,7 +14,8 @@ from ..operators import lines as L
 from ..operators import messages as M
 from ..operators import models as MD
 from ..operators import similarity as SIM
-from ..operators.stats import status_by_category
+from ..operators.stats import value_counts
+from ..sources.union import multi_source_union
 
 
 def mine_bug_fix_changes(commits: DataFrame, files: DataFrame, done: DataFrame | None = None,
@@ -33,18 +34,53 @@ def mine_bug_fix_changes(commits: DataFrame, files: DataFrame, done: DataFrame |
     return rows
 
 
-def change_metrics(changes: DataFrame, key: list[str], before: str = "before", after: str = "after",
-                   embed=MD.embed_text) -> DataFrame:
-    """E-2: code-metric deltas, semantic and token similarity, classes and agreement per change."""
+def infer_messages(changes: DataFrame, keys: list[str], make_model, message: str = "message", diff: str = "diff",
+                   out: str = "inference") -> DataFrame:
+    """E-1, model step: (keys, inference) per change.  The diff is split into hunks, each prompted with the message (P23) and
+    sent to the model (M1; a failing hunk gives ''), and the answers are joined by "; " in hunk order."""
+    hunks = C.hunk_split(changes.select(*keys, F.col(message).alias("__m"), diff), [*keys, "__m"], diff)
+    prompts = hunks.withColumn("__p", M.hunk_prompt(F.coalesce("__m", F.lit("")), F.col("hunk")))
+    answers = MD.batch_model_apply(prompts, "__p", "__a", make_model).withColumn("__a", F.coalesce("__a", F.lit("")))
+    return C.ordered_join_text(answers, keys, "hunk_no", "__a", out=out)
+
+
+def complete_changes(changes: DataFrame, inferred: DataFrame, keys: list[str], make_model, message: str = "message",
+                     path: str = "path", inference: str = "inference", out: str = "rectified") -> DataFrame:
+    """E-1, last step: the inferred messages joined to the changes (J1), rewritten by a second model (P23, M1, P24; a failing
+    row gives '') and projected to (keys, path, message, inference, rectified) (P10)."""
+    rows = C.change_message_join(changes, inferred, keys, [inference])
+    rows = rows.withColumn("__p", M.rectify_prompt(F.col(message), F.col(path), F.col(inference)))
+    rows = MD.batch_model_apply(rows, "__p", out, make_model)
+    return rows.select(*keys, path, message, inference, F.coalesce(model_text_cleanup(out), F.lit("")).alias(out))
+
+
+def change_metrics(changes: DataFrame, before: str = "before", after: str = "after", embed=MD.embed_text) -> DataFrame:
+    """E-2: code-metric deltas, semantic and token similarity, classes and agreement for every change, row by row."""
     m = G.code_change_metrics(changes, before, after)
     m = SIM.change_similarity(m, before, after, embed, out="semantic_similarity")
-    b = SIM.bleu(changes, key, after, before, out="token_similarity")
-    m = m.join(b, key, "left")
-    return K.classify(m, error_col="error")
+    return K.classify(SIM.with_bleu(m, after, before, out="token_similarity"), error_col="error")
 
 
-def diff_discrepancy(changes: DataFrame, diff: str = "diff", hist: str = "diff_hist", path: str = "path",
+def diff_discrepancy(sources: dict[str, DataFrame], diff: str = "diff", hist: str = "diff_hist", path: str = "path",
                      normalize: str = "both") -> DataFrame:
-    """E-3: compare two renderings of each diff and count Yes / No by file kind."""
-    d = L.discrepancy(changes, diff, hist, normalize=normalize).withColumn("file_type", path_category(path))
-    return status_by_category(d, "discrepancy", "file_type")
+    """E-3 over several repositories: compare two renderings of each diff and count Yes / No by repository and file kind."""
+    rows = multi_source_union(sources, lambda d: d.select(diff, hist, path))
+    d = L.discrepancy(rows, diff, hist, normalize=normalize).withColumn("file_type", path_category(path))
+    return (d.where(F.col("discrepancy").isin("Yes", "No")).groupBy("repo", "discrepancy", "file_type")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def change_report(files: DataFrame, key: str, path: str) -> DataFrame:
+    """Descriptive report (A1-A4, P19) as (section, name, value): rows, distinct keys and paths, mean rows per key, and
+    rows per file extension."""
+    per = files.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    totals = files.agg(F.count(F.lit(1)).cast("double").alias("rows"), F.count_distinct(key).cast("double").alias("keys"),
+                       F.count_distinct(path).cast("double").alias("paths"))
+    mean = per.where(F.col(key).isNotNull()).agg(F.avg("__n").alias("mean_rows_per_key"))
+    kinds = value_counts(files, path_extension(path)).select(F.lit("extension").alias("section"), F.col("value").alias("name"),
+                                                             F.col("count").cast("double").alias("value"))
+
+    def tall(df):
+        return df.unpivot([], df.columns, "name", "value").select(F.lit("total").alias("section"), "name", "value")
+
+    return tall(totals).unionByName(tall(mean)).unionByName(kinds)

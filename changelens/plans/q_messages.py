@@ -88,11 +88,13 @@ def criteria_filter_q(t):
     return r.select("c_custkey")
 
 
-@register("prompt_build", views=("v_change",), sql="""
+_SUGGESTION = r"coalesce(regexp_extract(after, '(\S+)', 1), '')"
+
+
+@register("prompt_build", views=("v_change",), sql=f"""
 SELECT hash, seq,
-  md5('Rectify this commit message based on the code changes.' || chr(10) || 'Message: ' || role || chr(10)
-      || 'Filename: ' || coalesce(path, '') || chr(10) || 'LLM Inference: ' || coalesce(regexp_extract(after, '(\\S+)', 1), '')
-      || chr(10) || 'Corrected commit message:') AS rectify_md5,
+  md5('Rewrite the commit message so that it says what the change does.' || chr(10) || 'Message: ' || role || chr(10)
+      || 'File: ' || coalesce(path, '') || chr(10) || 'Suggestion: ' || {_SUGGESTION} || chr(10) || 'New message:') AS rectify_md5,
   md5(role || ' diff ' || after) AS hunk_md5
 FROM v_change""")
 def prompt_build_q(t):
@@ -103,6 +105,26 @@ def prompt_build_q(t):
                     F.md5(M.hunk_prompt(F.col("role"), F.col("after"))).alias("hunk_md5"))
 
 
+@register("chat_prompt", views=("v_change",), sql=f"""
+SELECT hash, seq, 'system' AS role_1, 'You write commit messages.' AS content_1, 'user' AS role_2,
+       'Message: ' || role || chr(10) || 'File: ' || coalesce(path, '') || chr(10) || 'Suggestion: ' || {_SUGGESTION} AS content_2 FROM v_change""")
+def chat_prompt_q(t):
+    """The chat form of the rewriting prompt."""
+    p = V.v_change(t).withColumn("p", M.chat_prompt(F.col("role"), F.col("path"), F.regexp_extract("after", r"(\S+)", 1)))
+    return p.select("hash", "seq", *[F.get("p", i)[f].alias(f"{f}_{i + 1}") for i in (0, 1) for f in ("role", "content")])
+
+
+@register("combine_prompt", views=("v_change",), sql="""
+SELECT hash, 'Merge these messages for the file ' || min(path) || ' into one.' || chr(10) || string_agg(role, chr(10) ORDER BY seq, role)
+       || chr(10) || 'Original message: ' || min(role) AS prompt
+FROM v_change WHERE path IS NOT NULL GROUP BY hash""")
+def combine_prompt_q(t):
+    """The combine prompt, one line per message of a change."""
+    g = V.v_change(t).where("path IS NOT NULL").groupBy("hash").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "role"))).alias("m"), F.min("path").alias("path"), F.min("role").alias("original"))
+    return g.select("hash", M.combine_prompt(F.col("path"), F.col("m.role"), F.col("original")).alias("prompt"))
+
+
 # ---------------------------------------------------------------- text helpers (documents)
 
 @register("newline_escape", sql="""
@@ -186,7 +208,7 @@ _LEAD = "CASE WHEN doc_id % 3 = 0 THEN 'Create a new commit message for this cha
 
 
 @register("model_text_cleanup", sql=f"""
-SELECT doc_id, coalesce({S.strip("list_filter(string_split_regex(c, '\\r\\n|\\r|\\n'), lambda x: length(" + S.strip('x') + ") > 0)[1]")}, c) AS cleaned
+SELECT doc_id, coalesce({S.strip("list_filter(string_split_regex(c, '\\r\\n|[\\n\\x0B\\x0C\\r\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]'), lambda x: length(" + S.strip('x') + ") > 0)[1]")}, c) AS cleaned
 FROM (SELECT doc_id, {S.strip("regexp_replace(" + S.strip(_LEAD + " || text") + ", '(?i)^create a (new )?commit message.*?:\\s*', '')")} AS c
       FROM documents) s""")
 def model_text_cleanup_q(t):

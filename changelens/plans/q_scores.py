@@ -226,7 +226,9 @@ def _first_line_model():
     return run
 
 
-@register("batch_model_apply")
+@register("batch_model_apply", sql=f"""
+SELECT doc_id, coalesce(lower({S.strip(f"list_filter(string_split(text, chr(10)), lambda x: length({S.strip('x')}) > 0)[1]")}), '') AS inference,
+       NULL::VARCHAR AS error FROM documents""")
 def batch_model_apply_q(t):
     """M1: a user model over every distinct document text, in Arrow batches."""
     r = MD.batch_model_apply(t.documents.select("doc_id", "text"), "text", "inference", _first_line_model,
