@@ -83,9 +83,21 @@ def test_before_after_join_inner_vs_outer(spark):
 
 def test_line_delta_multiset(spark):
     df = spark.createDataFrame([(1, "a\nb\nb", "b\nc\nc")], "k int, before string, after string")
-    added, deleted = L.line_delta(df, ["k"])
-    assert sorted(r.line for r in added.collect()) == ["c", "c"]
-    assert sorted(r.line for r in deleted.collect()) == ["a", "b"]
+    got = sorted((r.side, r.line) for r in L.line_delta(df, ["k"]).collect())
+    assert got == [("added", "c"), ("added", "c"), ("deleted", "a"), ("deleted", "b")]
+
+
+def test_null_safe_join_matches_nulls(spark):
+    left = spark.createDataFrame([(1, "a"), (1, None)], "k int, p string")
+    right = spark.createDataFrame([(1, "a", "x"), (1, None, "y")], "k int, p string, m string")
+    assert [r.m for r in C.change_message_join(left, right, ["k", "p"], ["m"]).collect()] == ["x"]
+    assert sorted(r.m for r in C.change_message_join(left, right, ["k", "p"], ["m"], null_safe=True).collect()) == ["x", "y"]
+
+
+def test_trailing_json_text_is_an_error(spark):
+    df = spark.createDataFrame([('{"added":[],"deleted":[]}',), ('{"added":[],"deleted":[]} junk',), ('{"a":1},{"b":2}',), ("[]",), (None,)], "h string")
+    got = [r.discrepancy for r in L.discrepancy(df.withColumn("diff", F.lit("")), "diff", "h").collect()]
+    assert got == ["Yes", "Error", "Error", "Error", "Error"]
 
 
 def test_changed_files(spark):

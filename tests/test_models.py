@@ -21,3 +21,13 @@ def test_hashed_embedding_blank_is_zero(spark):
     df = spark.createDataFrame([("",), ("a b a",)], "t string")
     v = [r.v for r in MD.embed_text(df, "t", "v").collect()]
     assert sum(v[0]) == 0 and sum(v[1]) == 3 and len(v[1]) == 64
+
+
+def _forgets_short_texts():
+    return lambda texts: [t for t in texts if len(t) > 1]
+
+
+def test_short_results_fail_only_their_rows(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, "c"), (3, "de")], "k int, t string")
+    got = {r.k: (r.out, r.error is None) for r in MD.batch_model_apply(df, "t", "out", _forgets_short_texts).collect()}
+    assert got == {1: ("ab", True), 2: (None, False), 3: ("de", True)}

@@ -1,12 +1,13 @@
 import __spark_entry__ as E
 
-ROWS_ONLY = {"random_sample", "hash_sample", "batch_checkpoint", "batch_model_apply"}
+from changelens.plans import catalog
+
 SMOKE = "/root/testdata/sf0.001"
 
 
-def test_every_query_has_oracle_or_is_rows_only():
-    q, o = E.queries(), E.oracle_sql()
-    assert set(q) - set(o) == ROWS_ONLY
+def test_every_query_has_an_oracle():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
+    assert set(catalog.QUERIES) <= set(E.queries())
 
 
 def test_entry_runs(spark):

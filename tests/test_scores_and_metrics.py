@@ -9,6 +9,7 @@ from changelens.functions.bleu import tokenize_13a
 from changelens.functions.vectors import cosine
 from changelens.operators import classify as K
 from changelens.operators import codemetrics as G
+from changelens.operators import models as MD
 from changelens.operators import similarity as SIM
 from changelens.operators import stats as ST
 
@@ -88,7 +89,7 @@ def test_transpose_twice_is_identity(spark):
     df = spark.createDataFrame([("Human", "Dev", 0.82), ("Human", "Gen", 0.43), ("Small", "Dev", 0.93),
                                 ("Small", "Gen", 0.93)], "scorer string, creator string, score double")
     wide = ST.score_matrix(df, "scorer", "creator", "score", ["Dev", "Gen"])
-    back = ST.transpose(ST.transpose(wide, "scorer", "creator"), "creator", "scorer")
+    back = ST.transpose(ST.transpose(wide, "scorer", "creator", ["Human", "Small"]), "creator", "scorer", ["Dev", "Gen"])
     assert sorted(map(tuple, back.select("scorer", "Dev", "Gen").collect())) == sorted(map(tuple, wide.collect()))
 
 
@@ -113,3 +114,38 @@ def test_line_counts_match_splitlines(spark):
     got = [r.loc for r in G.code_metrics(df, "t", "").collect()]
     # blank text is a failed side (null metrics), as in the metrics job
     assert got == [len(x.splitlines()) if x.strip() else None for x in texts]
+
+
+def test_scores_stay_with_their_rows_on_repeated_keys(spark):
+    text = "one two three four five"
+    df = spark.createDataFrame([(1, text, text), (1, text, "quite other words stand here"), (1, text, text)], "k int, a string, b string")
+    assert sorted(r.bleu for r in SIM.bleu(df, ["k"], "a", "b").collect()) == [0.0, 1.0, 1.0]
+    scores = SIM.message_scores(df, ["k"], "a", {"m": "b"}, MD.embed_text).collect()
+    assert len(scores) == 3 and sorted(round(r.m_score, 6) for r in scores)[1:] == [1.0, 1.0]
+
+
+def test_correlation_of_a_constant_column_is_null(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.0, 5.0), (3.0, None, 5.0)], "x double, y double, c double")
+    got = {(r.col_a, r.col_b): r.r for r in ST.corr_matrix(df, ["x", "y", "c"]).collect()}
+    assert got["x", "y"] == got["x", "x"] == 1.0 and got["c", "c"] is None and got["x", "c"] is None and len(got) == 9
+
+
+def test_hit_rate_leaves_out_null_scores(spark):
+    df = spark.createDataFrame([(0.9,), (None,)], "s double")
+    row = K.hit_rate(df, ["s"], 0.5).first()
+    assert row.hit_rate == 1.0 and row.n == 1
+
+
+def test_median_counts_hot_values_before_the_shuffle(spark):
+    df = spark.range(10000).select(F.lit("g").alias("g"), F.when(F.col("id") % 10 == 0, F.col("id").cast("double")).otherwise(7.0).alias("v"))
+    assert ST.exact_median(df, ["g"], "v").first()["median"] == 7.0
+    plan = df.groupBy("g", "v").count()._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan
+    few = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 3.0), ("b", None)], "g string, v double")
+    assert {r.g: r["median"] for r in ST.exact_median(few, ["g"], "v").collect()} == {"a": 1.5, None: 3.0}
+
+
+def test_literals_and_comments_are_not_code(spark):
+    doc = 'def f(x):\n    """Wait for it and return if done or not"""\n    y = "# no comment and if"\n    return y  # if or and\n'
+    row = G.code_metrics(spark.createDataFrame([(doc,)], "s string"), "s", "m_").first()
+    assert row.m_cc == 1.0 and row.m_loc == 4

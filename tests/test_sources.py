@@ -1,6 +1,9 @@
 import os
 import tempfile
 
+import pytest
+from pyspark.errors import AnalysisException
+from changelens.streaming.incremental import incremental_ingest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,16 +29,50 @@ def test_csv_lenient_scan(spark):
 def test_resume_twice_is_once(spark):
     out = os.path.join(tempfile.mkdtemp(dir="/tmp"), "out")
     df = spark.range(100).select((F.col("id") % 50).alias("k"), F.col("id").alias("v"))
-    first = RS.resume_append(df.where("k < 20"), out, ["k"]).count()
-    second = RS.resume_append(df, out, ["k"]).count()
-    third = RS.resume_append(df, out, ["k"]).count()
-    assert (first, second, third) == (40, 60, 0)
+    os.makedirs(out)  # an empty folder is an output without commits
+    RS.resume_append(df.where("k < 20"), out, ["k"])
+    RS.resume_append(df, out, ["k"])
+    RS.resume_append(df, out, ["k"])
     assert spark.read.parquet(out).count() == 100
+    with pytest.raises(AnalysisException):  # an output with other columns is no empty output
+        RS.resume_append(df.withColumnRenamed("k", "other"), out, ["other"])
+
+
+def test_late_rows_of_a_batch_are_written(spark):
+    out = os.path.join(tempfile.mkdtemp(dir="/tmp"), "out")
+    RS.batch_checkpoint(spark.range(100).toDF("k"), out, ["k"], 4)
+    assert RS.batch_checkpoint(spark.range(200).toDF("k"), out, ["k"], 4).count() == 200
+
+
+def test_quarantine_keeps_the_whole_record(spark):
+    path = os.path.join(tempfile.mkdtemp(dir="/tmp"), "x.csv")
+    with open(path, "w") as f:
+        f.write('1,x,2.5\n2,x,3,,z\n3,"a,b",4,"q""r"\n4,x\nfive,x,1\n5,"",\n,y,2\n')
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("s", T.StringType()), T.StructField("v", T.DoubleType())])
+    good, bad = CSV.csv_lenient_scan(spark, path, schema, header=False)
+    assert sorted((r.k or 0, r.v) for r in good.collect() if r.v) == [(0, 2.0), (1, 2.5)] and good.count() == 4
+    got = {r.raw.strip(): list(r.extra) for r in bad.collect()}
+    assert got == {"2,x,3,,z": ["", "z"], '3,"a,b",4,"q""r"': ['"q""r"'], "five,x,1": []}
+    with pytest.raises(Exception, match="malformed row"):
+        CSV.csv_strict_scan(spark, path, schema, header=False).collect()
+
+
+def test_ingest_does_not_depend_on_the_layout(spark):
+    rows = [(1, "a"), (1, "b"), (2, "c")]
+    for parts in (1, 3):
+        top = tempfile.mkdtemp(dir="/tmp")
+        df = spark.createDataFrame(rows, "k int, v string").repartition(parts)
+        df.write.parquet(f"{top}/in")
+        for _ in range(2):
+            incremental_ingest(spark, f"{top}/in", df.schema, f"{top}/out", f"{top}/ck", ["k"], max_files_per_trigger=1)
+        assert sorted(r.k for r in spark.read.parquet(f"{top}/out").collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        incremental_ingest(spark, f"{top}/in", df.schema, f"{top}/o2", f"{top}/c2", ["k"], file_glob="*.none")
 
 
 def test_dead_letters_conserve_rows(spark):
     df = spark.range(10).withColumn("error", F.when(F.col("id") % 3 == 0, F.lit("bad")))
-    good, dead = RS.split_dead_letters(df, "error", ["id"], "stage")
+    good, dead = RS.split_dead_letters(df, "error", ["id"], "stage", os.path.join(tempfile.mkdtemp(dir="/tmp"), "split"))
     assert good.count() + dead.count() == 10 and dead.count() == 4
 
 

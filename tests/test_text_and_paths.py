@@ -79,3 +79,14 @@ def test_lines_matches_python_splitlines(spark):
 def test_escape_unescape_identity(spark, s):
     df = spark.createDataFrame([(s,)], "t string")
     assert df.select(T.unescape_newlines(T.escape_newlines("t"))).first()[0] == s
+
+
+def test_white_space_and_line_ends_are_pythons(spark):
+    spaces = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    ends = [chr(i) for i in range(0x3001) if len(f"a{chr(i)}b".splitlines()) == 2]
+    texts = [f"{c}a{c}{c}b{c}" for c in dict.fromkeys([*spaces, *ends, "\u200b", "x"])] + ["a\r\nb", "\r\n", "", "a\x0cb\x0bc\x85"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", T.strip_ws("t").alias("s"), T.whitespace_tokens("t").alias("w"), T.lines("t").alias("l"), T.is_blank("t").alias("b"),
+                    T.first_token("t").alias("f")).collect()
+    for r in got:
+        assert (r.s, r.w, r.l, r.b, r.f) == (r.t.strip(), r.t.split(), r.t.splitlines(), not r.t.strip(), (r.t.split() or [None])[0]), repr(r.t)
