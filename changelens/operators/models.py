@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import text_digest, whitespace_tokens
+from ..session import ship_package
 
 
-def _ship_by_value(*module_names: str) -> None:
-    """Send this package's functions (and the named modules) to Python workers by value, so
-    workers need not have them installed (cloudpickle pickles importable modules by reference)."""
-    import sys
-
-    from pyspark import cloudpickle
-
-    for name in (__name__.split(".")[0], *module_names):
-        mod = sys.modules.get(name)
-        if mod is None or name in ("__main__", "builtins"):
-            continue
-        try:
-            cloudpickle.register_pickle_by_value(mod)
-        except (ValueError, AttributeError):
-            pass
+@contextmanager
+def _by_value(module_name: str, wanted: bool):
+    """While a UDF is pickled, pickle the named module's functions by value; the registration is undone afterwards."""
+    mod = sys.modules.get(module_name) if wanted and module_name not in ("__main__", "builtins") else None
+    if mod is None or module_name in cloudpickle.list_registry_pickle_by_value():
+        yield
+        return
+    cloudpickle.register_pickle_by_value(mod)
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(mod)
 
 
 def _model_cache() -> dict:
     """Per-process cache (survives across tasks in a reused Python worker)."""
-    import sys
     return sys.__dict__.setdefault("_changelens_model_cache", {})
 
 
@@ -49,7 +49,7 @@ def batch_model_apply(df: DataFrame, in_col: str, out_col: str, make_fn: Callabl
     ``ship_model_module`` pickles the module defining ``make_fn`` by value, for
     model code that is not installed on the workers.
     """
-    _ship_by_value(*([make_fn.__module__] if ship_model_module else []))
+    ship_package(df.sparkSession)
     key = cache_key or f"{make_fn.__module__}.{getattr(make_fn, '__qualname__', id(make_fn))}"
     schema = T.StructType([T.StructField("value", out_type), T.StructField("error", T.StringType())])
 
@@ -78,12 +78,14 @@ def batch_model_apply(df: DataFrame, in_col: str, out_col: str, make_fn: Callabl
                     errs.append(f"{type(e).__name__}: {e}")
         return pd.DataFrame({"value": res, "error": errs})
 
+    with _by_value(make_fn.__module__, ship_model_module):
+        called = apply(F.col(in_col))  # pickles the model factory
     if not distinct:
-        r = df.withColumn("__m", apply(F.col(in_col)))
+        r = df.withColumn("__m", called)
         return r.withColumns({out_col: F.col("__m.value"), error_col: F.col("__m.error")}).drop("__m")
     keyed = df.withColumn("__th", text_digest(in_col))
     uniq = keyed.select("__th", in_col).dropDuplicates(["__th"])
-    scored = uniq.select("__th", apply(F.col(in_col)).alias("__m")).select(
+    scored = uniq.select("__th", called.alias("__m")).select(
         "__th", F.col("__m.value").alias(out_col), F.col("__m.error").alias(error_col))
     return keyed.join(scored, "__th", "left").drop("__th")
 

@@ -8,6 +8,8 @@ from ..operators import classify as K
 from ..operators import codemetrics as G
 from ..operators import rows as R
 from ..operators import stats as ST
+from ..session import scratch_path
+from ..sources.csv_io import table_sink
 from . import views as V
 from .registry import register
 from .sqlfrag import strip
@@ -141,7 +143,8 @@ FROM (SELECT *, CASE WHEN error IS NULL THEN row_number() OVER (PARTITION BY err
       FROM ({_G4_SQL}) g) s""")
 def first_n_successful_q(t):
     """L3: metrics kept on the first 120 successful rows in key order; all rows returned."""
-    r = R.first_n_successful(_g4(t), 120, ["hash"], "error", ["mi_change", "loc_change"], keys=["hash"])
+    path = table_sink(_g4(t), scratch_path(t.spark, "metrics"))  # measured once, read for the choice and for the result
+    r = R.first_n_successful(t.spark.read.parquet(path), 120, ["hash"], "error", ["mi_change", "loc_change"], keys=["hash"])
     return r.select("hash", "mi_change", "loc_change", "processed")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -61,7 +62,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_scratch: list[str] = []
+_shipped: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint directory."""
+    """A fresh, unique folder under the shared checkpoint directory; ``clear_scratch`` removes it."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(f"{base}/{name}-{uuid.uuid4().hex[:12]}")
+    return _scratch[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete every folder that this process took by ``scratch_path``; call it when no frame reads them any more."""
+    done = 0
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application, as a zip that Spark serves to them."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{os.path.basename(package)}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(package)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
