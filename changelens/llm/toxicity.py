@@ -172,7 +172,7 @@ def _fit(rows: list, size: int, ridge: float, strength: float, steps: int) -> tu
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, kinds: dict[str, tuple[str, ...]] = IDENTITY_TERMS, strength: float = 1.0,
-        ridge: float = 1e-3, steps: int = 200, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN,
+        ridge: float = 3e-4, steps: int = 200, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN,
         most_features: int = MOST_FEATURES, least_documents: int = LEAST_DOCUMENTS) -> Model:
     """Fit on a bounded sample of labelled texts (``most_toxic`` + ``most_clean`` rows on average).
 
