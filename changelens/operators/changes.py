@@ -18,7 +18,7 @@ def explode_files(df: DataFrame, files_col: str = "files", pos: str = "file_pos"
 
 
 def collect_files(df: DataFrame, key: str = "hash", path: str = "path", out: str = "files") -> DataFrame:
-    """sorted list of modified files per commit (partial aggregation map-side)."""
+    """sorted list of modified files per commit (partial aggregation map-side); a list is bounded by the files of one commit."""
     return df.groupBy(key).agg(F.array_sort(F.collect_list(path)).alias(out))
 
 
@@ -33,7 +33,7 @@ def hunk_split(df: DataFrame, keys: list[str], diff_col: str = "diff", pos: str
 
 def ordered_join_text(df: DataFrame, keys: list[str], pos: str, text: str, sep: str = "; ",
                       out: str = "joined") -> DataFrame:
-    """per key, join texts with ``sep`` in ``pos`` order (sorted after the shuffle)."""
+    """per key, join texts with ``sep`` in ``pos`` order (sorted after the shuffle); a text is bounded by the hunks of one change."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))
     return df.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda s: s["t"]), sep).alias(out))
 

@@ -13,17 +13,11 @@ from .registry import register
 from .views import sql_lines
 
 
-def _commits_with_files(t):
-    files = C.collect_files(V.v_file(t), "hash", "path")
-    return V.v_commit(t).join(files, "hash")
-
-
 @register("explode_files", views=("v_file",), sql="""
 SELECT hash, row_number() OVER (PARTITION BY hash ORDER BY path) - 1 AS file_pos, path FROM v_file""")
 def explode_files_q(t):
     """commits with their file lists, flattened back to one row per file."""
-    c = _commits_with_files(t).select("hash", "files")
-    return C.explode_files(c, "files", "file_pos", "path")
+    return C.explode_files(C.collect_files(V.v_file(t), "hash", "path"), "files", "file_pos", "path")
 
 
 @register("collect_files", views=("v_file",), sql="""
@@ -70,6 +64,14 @@ def change_message_join_q(t):
     return C.change_message_join(left, right, ["l_orderkey", "l_partkey"], ["r_linenumber"])
 
 
+@register("change_message_join_null_safe", views=("v_change",), sql="""
+SELECT l.hash, l.seq, r.seq AS r_seq FROM v_change l JOIN v_change r ON l.hash = r.hash AND l.path IS NOT DISTINCT FROM r.path""")
+def change_message_join_null_safe_q(t):
+    """J1 where a missing path matches a missing path."""
+    c = V.v_change(t).select("hash", "seq", "path")
+    return C.change_message_join(c, c.withColumnRenamed("seq", "r_seq"), ["hash", "path"], ["r_seq"], null_safe=True).select("hash", "seq", "r_seq")
+
+
 _DONE_SQL = "SELECT f.hash, f.path FROM v_file f JOIN v_commit c ON c.hash = f.hash WHERE c.committed_at < TIMESTAMP '1998-01-01'"
 
 

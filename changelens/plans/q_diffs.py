@@ -64,6 +64,13 @@ def discrepancy_compat_q(t):
     return L.discrepancy(V.v_diff(t), normalize="compat").select("hash", "seq", "discrepancy")
 
 
+@register("discrepancy_plain", views=("v_diff",), sql=f"""
+SELECT hash, seq, {sql_discrepancy('none')} AS discrepancy FROM v_diff""")
+def discrepancy_plain_q(t):
+    """E1 on stripped lines as they are."""
+    return L.discrepancy(V.v_diff(t), normalize="none").select("hash", "seq", "discrepancy")
+
+
 @register("status_by_category", views=("v_diff",), sql=f"""
 SELECT discrepancy, file_type, count(*) AS n FROM (
   SELECT {sql_discrepancy('compat')} AS discrepancy, {kind('path')} AS file_type FROM v_diff) d

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.bleu import TOK13A_PRE, TOK13A_RULES
-from ..functions.vectors import cosine, mean_pool, norm
+from ..functions.vectors import cls_pool, cosine, mean_pool, norm
 from ..operators import classify as K
 from ..operators import models as MD
 from ..operators import similarity as SIM
@@ -73,6 +73,13 @@ def mean_pool_q(t):
     return p.select("grp", F.round(norm("p"), 6).alias("pooled_norm"), F.round(F.get("p", 0), 6).alias("pooled_first"))
 
 
+@register("cls_pool", views=("v_score",), sql="SELECT grp, round(dev_vec[1]::DOUBLE, 6) AS first, len(dev_vec) AS width FROM v_score")
+def cls_pool_q(t):
+    """M2 pooling: the first vector of each group's sequence."""
+    p = V.v_score(t).select("grp", cls_pool(F.array("dev_vec", "model_vec", "rect_vec")).alias("p"))
+    return p.select("grp", F.round(F.get("p", 0).cast("double"), 6).alias("first"), F.size("p").alias("width"))
+
+
 @register("change_similarity", views=("v_change",), sql=f"""
 SELECT hash, seq, round({sql_cos(sql_embed('before'), sql_embed('after'))}, 6) AS semantic_similarity FROM v_change""")
 def change_similarity_q(t):

@@ -83,10 +83,10 @@ def multi_source_union_q(t):
     return multi_source_union(srcs, lambda d: d.select("o_orderkey", "o_totalprice"))
 
 
-@register("table_sink", sql="SELECT doc_id, lang, n_chars FROM documents")
+@register("table_sink", sql="SELECT doc_id, lang, n_chars, text FROM documents")
 def table_sink_q(t):
     """Parquet hand-off between stages, read back."""
-    path = CSV.table_sink(t.documents.select("doc_id", "lang", "n_chars"), scratch_path(t.spark, "sink"))
+    path = CSV.table_sink(t.documents.select("doc_id", "lang", "n_chars", "text"), scratch_path(t.spark, "sink"))
     return t.spark.read.parquet(path)
 
 
