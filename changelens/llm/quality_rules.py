@@ -241,10 +241,9 @@ def rate_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents the list keeps, with their own columns only.
 
-    The labelled rows alone are measured for learning; the verdict is then an
-    expression beside the scan, so no text is shuffled for it.
+    Statistics, not texts, meet the labels; the verdict is then an expression
+    beside the scan.  So no text is shuffled.
     """
-    some = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    rules = learn(labelled_statistics(with_statistics(some, carry=["doc_id"]), labels))
+    rules = learn(labelled_statistics(with_statistics(docs.select("doc_id", "text"), carry=["doc_id"]), labels))
     packed = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__t"))
     return judge(with_statistics(packed, "__t", carry=["__row"]), rules).filter("kept").select("__row.*")
