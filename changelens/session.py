@@ -73,12 +73,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return _scratch[-1]
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Delete every folder that this process took by ``scratch_path``; call it when no frame reads them any more."""
+def scratch_mark() -> int:
+    """How many scratch folders are taken; folders taken later can be dropped with ``clear_scratch``."""
+    return len(_scratch)
+
+
+def clear_scratch(spark: SparkSession, start: int = 0, stop: int | None = None) -> int:
+    """Delete the scratch folders taken from mark ``start`` up to ``stop`` (default: all); call it when no frame reads them any more."""
     done = 0
-    while _scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    for i in range(start, len(_scratch) if stop is None else stop):
+        if _scratch[i]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_scratch[i])
+            done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+            _scratch[i] = ""
     return done
 
 
