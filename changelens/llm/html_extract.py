@@ -57,25 +57,43 @@ _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _named(value: str) -> tuple[bool, bool, bool]:
+    """What class or id names say: (main, skipped for sure, skipped perhaps).
+
+    A name whose words all mean "not main" is sure; one with such a word among
+    others ("site-header") gives way to a name that means main.
+    """
+    main = sure = perhaps = False
+    for name in value.split():
+        words = _NAME.findall(name)
+        whole = "".join(words)
+        if whole in MAIN_NAMES or words and all(w in MAIN_NAMES for w in words):
+            main = True
+        elif whole in SKIPPED_NAMES or words and all(w in SKIPPED_NAMES for w in words):
+            sure = True
+        elif any(w in SKIPPED_NAMES for w in words):
+            perhaps = True
+    return main, sure, perhaps
+
+
 def _meaning(name: str, attrs: str) -> tuple[str, bool, bool]:
-    """(path step, skipped, main) of a container's start tag."""
+    """(path step, skipped, main) of a start tag."""
     step, skipped, main = name, name in SKIPPED, name in ("article", "main")
     if attrs and not attrs.isspace():
+        sure = perhaps = False
         for key, value in _ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
-                words = _NAME.findall(value)
-                whole = {"".join(_NAME.findall(v)) for v in value.split()}
                 if key == "class":
-                    step += "." + "-".join(words)
-                named = whole | set(words)
-                if name not in ("body", "html", "article", "main") and named & SKIPPED_NAMES:
-                    skipped = True
-                main = main or bool(named & MAIN_NAMES)
+                    step += "." + "-".join(_NAME.findall(value))
+                says = _named(value)
+                main, sure, perhaps = main or says[0], sure or says[1], perhaps or says[2]
             elif key == "role":
                 skipped, main = skipped or value in SKIPPED_ROLES, main or value == "main"
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                 skipped = True
+        if name not in ("html", "body"):
+            skipped = skipped or sure or perhaps and not main
     return step, skipped, main and not skipped
 
 

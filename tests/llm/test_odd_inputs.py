@@ -203,6 +203,17 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_blocks_by_meaning():
+    def main(page):
+        return [t for _, t, skipped, _ in html_extract.blocks(page)[0] if not skipped]
+
+    assert main('<div class="post-content share-enabled"><p>A</p></div><div class="site-header">no</div>') == ["A"]
+    assert main('<article class="post"><p>A<aside>no</aside><p>B</article><article class="comment"><p>no</article>') == ["A", "B"]
+    assert main('<main><header><h1>T</h1></header><ul class="share-list"><li>no</li></ul><p>x &lt; y<br>z</main><p class="cookie-notice">no</p>') == ["T", "x < y z"]
+    assert main('<section id="comments"><div><p>no</p></div></section><p>A<script>"</p>"</script>B<!-- <p>no --> C') == ["A B C"]
+    assert main('<form><p>no</form><div hidden>no</div><p style="display: none">no</p><p>&eacute;&#233;&#xe9; &amp;amp;') == ["ééé &amp;"]
+
+
 def test_pipeline_stages(spark, docs, labels, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
