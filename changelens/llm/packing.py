@@ -25,7 +25,7 @@ END = 1
 BUCKETS = 256
 DIMS = 4
 BITS = 15
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -60,10 +60,11 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 class Encoder:
-    """Token ids of whole texts; a bounded cache holds the ids of single words.
+    """Token ids of whole texts; a bounded cache of two generations holds the ids of single words.
 
     Valid for tokenizers that never join over a space, tab or line end, as
-    those that drop white space.
+    those that drop white space.  Words used since the last change of
+    generations outlive it.
     """
 
     def __init__(self, path: str):
@@ -73,17 +74,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        for text in texts:
-            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            new = list({w for w in words if w not in self.cache})
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> np.ndarray:
+        if len(self.young) > CACHED_WORDS // 2:
+            self.old, self.young = self.young, {}
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        new = set(words).difference(self.young)
+        if new:
+            known = new.intersection(self.old)
+            self.young.update((w, self.old[w]) for w in known)
+            new = list(new.difference(known))
             for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, np.uint32).tobytes()
-            yield np.frombuffer(b"".join(map(self.cache.__getitem__, words)), np.uint32)
+                self.young[w] = np.array(e.ids, np.uint32).tobytes()
+        return np.frombuffer(b"".join(map(self.young.__getitem__, words)), np.uint32)
 
 
 def _vector_table(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,27 +104,29 @@ def _vector_table(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _place(ids: np.ndarray, table) -> np.ndarray:
     """Coordinates of a document in [0, 2**BITS): its hashed, damped and normed bag of ids, projected and squashed."""
     bucket, sign, projection = table
-    kinds, times = np.unique(ids, return_counts=True)
-    v = np.bincount(bucket[kinds], sign[kinds] * np.log1p(times), BUCKETS)
+    v = np.bincount(bucket[ids], sign[ids], BUCKETS)
+    v = np.sign(v) * np.log1p(np.abs(v))
     y = (v / max(np.sqrt((v * v).sum()), 1e-12)) @ projection
     return np.minimum((1 / (1 + np.exp(-1.702 * y)) * 2 ** BITS).astype(np.int64), 2 ** BITS - 1)
 
 
 def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """(row, doc_id, __h, key, n, ids) per row of ``docs``, written: place on the curve, number of ids with the end
-    id, and the ids as zlib-packed little-endian 32-bit numbers.  ``row`` numbers the rows in no order."""
+    id, and the ids as zlib-packed little-endian numbers of
+    two bytes, or four for more than 65,536 kinds.  ``row`` numbers the rows in no order."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(tokenizer)
         table = _vector_table(max(enc.tokenizer.get_vocab_size(), end + 1))
+        kind = "<u2" if len(table[0]) <= 65536 else "<u4"
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
                 n, places, packed = [], [], []
-                for ids in enc.batch(b.column("__t").to_pylist()):
-                    ids = np.append(ids, np.uint32(end))
+                for text in b.column("__t"):
+                    ids = np.append(enc.ids(text.as_py()), np.uint32(end))
                     n.append(len(ids))
                     places.append(_place(ids, table))
-                    packed.append(zlib.compress(ids.tobytes(), 1))
+                    packed.append(zlib.compress(ids.astype(kind).tobytes(), 1))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), b.column("__h"), pa.array(hilbert_key(np.array(places)), pa.int64()), pa.array(n, pa.int64()),
                      pa.array(packed, pa.binary())], names=["doc_id", "__h", "key", "n", "ids"])
@@ -153,7 +160,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
         for b in batches:
             out: list[list] = [[] for _ in names]
             for doc_id, at, n, packed in zip(*(b.column(c).to_pylist() for c in ("doc_id", "at", "n", "ids"))):
-                ids, start = zlib.decompress(packed), 0
+                raw = zlib.decompress(packed)
+                ids, start = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4").tobytes(), 0
                 while start < n:
                     pos = at + start
                     if pos < full * length:
