@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import models as MD
 from ..operators import similarity as SIM
 from ..operators import stats as ST
+from ..session import scratch_path
+from ..sources.csv_io import table_sink
 from . import sqlfrag as S
 from . import views as V
 from .jobs import change_metrics, change_report, complete_changes, diff_discrepancy, infer_messages, mine_bug_fix_changes
@@ -57,8 +59,9 @@ _JOB_METRICS = {"mi_change": "mi_change", "cc_change": "cc_change", "loc_change"
 
 
 def _job_rows(t):
-    m = change_metrics(V.v_code(t)).where("error IS NULL")
-    return m.select(*[F.round(c, 6).alias(c) for c in _JOB_METRICS])
+    m = change_metrics(V.v_code(t)).where("error IS NULL").select(*[F.round(c, 6).alias(c) for c in _JOB_METRICS])
+    # the table of metrics is written once; its statistics read it several times
+    return t.spark.read.parquet(table_sink(m, scratch_path(t.spark, "metrics")))
 
 
 @register("change_metrics_summary", views=("v_code",), sql=_JOB_SQL + " UNION ALL ".join(
