@@ -3,12 +3,14 @@
 Tokens are the containers of a page (by their path) and its text blocks (path
 and text).  Over the distinct pages of a host every token has an occurrence
 vector, a count per page; tokens with equal vectors form an equivalence class.
-A class is valid if it is on at least half of the host's pages.  The containers
-of valid classes nest into the host's template: the innermost one that holds the
-article is the slot to extract, by meaning (article, main) or else by text.  Text
-blocks of a valid class outside of it, and inside of it those on every one of
-``SURE_PAGES`` pages or more, are template too.  What remains in the slot, without
-menus, forms and the like, is the text.
+A class is valid if it has ``CLASS_TOKENS`` tokens or more and is on at least half
+of the host's pages, and on more than one.  The containers of valid classes nest by
+their paths into the host's template; its texts of valid classes are fixed, and what
+other text there is fills its gaps.  The slot to extract is the container that means
+the article (article, main, or a class or id that says so), or else the innermost
+container that holds the gaps' text.  Text blocks of a valid class outside of it, and
+inside of it those on every one of ``SURE_PAGES`` pages or more, are template too.
+What remains in the slot, without menus, forms and the like, is the text.
 
 A host's vectors are folded to a digest by one grouped aggregate, so no task
 holds the pages of a host.
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from .base import ship, written
 
 SHARE = 0.5
+CLASS_TOKENS = 2
+GAP_SHARE = 0.9
 SURE_PAGES = 8
 
 # Elements by what they mean.
@@ -97,14 +101,16 @@ def _meaning(name: str, attrs: str) -> tuple[str, bool, bool]:
     return step, skipped, main and not skipped
 
 
-def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, tuple[int, bool]]]:
-    """Blocks of a page in order, as (path, text, skipped, characters in links), and its containers as path -> (count, main).
+def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, tuple[int, bool]], list[int]]:
+    """Blocks of a page in order, as (path, text, skipped, characters in links), its containers as path -> (count, main), and the places of h1 blocks.
 
     A container inside a skipped one is skipped.  A block ends at any start or
     end of a container, paragraph, heading or list item.  Missing end tags are
     closed with their parents; a tag cut off at the end of the page is dropped.
     """
     out: list[tuple[str, str, bool, int]] = []
+    titles: list[int] = []
+    title = False
     seen: dict[str, tuple[int, bool]] = {}
     stack: list[tuple[str, str, bool]] = [("", "", False)]  # (tag, path, skipped) of open containers
     held: list[str] = []
@@ -112,13 +118,15 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, tuple
     leaf = ""  # name of an open paragraph, heading or item whose class says that it isn't main text
 
     def flush():
-        nonlocal links
+        nonlocal links, title
         text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
         if text:
             _, path, skipped = stack[-1]
+            if title:
+                titles.append(len(out))
             out.append((path, text, skipped or bool(leaf), links))
         held.clear()
-        links = 0
+        links, title = 0, False
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -158,11 +166,12 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, tuple
                 seen[path] = (n + 1, was or main and not outer)
         elif name in LEAVES:
             flush()
+            title = name == "h1" and not m["close"]
             in_link, leaf = 0, "" if m["close"] or not m["attrs"] or not _meaning(name, m["attrs"])[1] else name
     if at < len(page):
         held.append(page[at:])
     flush()
-    return out, seen
+    return out, seen, titles
 
 
 def _token(*parts: str) -> int:
@@ -173,63 +182,88 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def _prefixes(path: str):
+    """A container's path and those of all containers around it, from the root ('')."""
+    parts = F.split(path, ">")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ">"))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, path, token, vector, support, n_pages, main, chars) of all tokens in valid classes.
+    """(host, vector, token, path, text, most, support, n_pages, n_tokens, main, chars) of all tokens on half of their host's pages.
 
-    path is null for text blocks; ``vector`` digests the occurrence vector, so
-    it names the equivalence class.  Pages that are equal byte for byte count
-    once.
+    ``text`` marks text blocks, the others are containers.  ``vector`` digests the
+    occurrence vector, so (host, vector) is the equivalence class and ``n_tokens``
+    its size.  Pages that are equal byte for byte count once.
     """
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "token", "path", "n", "page", "main", "chars"]
+        names = ["host", "token", "path", "text", "n", "page", "main", "chars"]
         for b in batches:
             out: list[list] = [[] for _ in names]
             for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                found, seen = blocks(page)
+                found, seen, _ = blocks(page)
                 key = xxhash.xxh3_64_intdigest(page.encode("utf-8", "replace")) - 2 ** 63
                 chars: dict[str, int] = defaultdict(int)
-                texts: dict[int, int] = defaultdict(int)
+                texts: dict[int, list] = {}
                 for path, text, skipped, links in found:
-                    texts[_token(path, text)] += 1
-                    if not skipped:
-                        while path:
-                            chars[path] += max(0, len(text) - 2 * links)
-                            path = path.rpartition(">")[0]
-                rows = [(host, _token(p), p, n, key, main, chars[p]) for p, (n, main) in seen.items()]
-                rows += [(host, t, None, n, key, False, 0) for t, n in texts.items()]
+                    own = 0 if skipped else max(0, len(text) - 2 * links)
+                    t = texts.setdefault(_token(path, text), [path, 0, 0])
+                    t[1] += 1
+                    t[2] += own
+                    chars[""] += own
+                    while own and path:
+                        chars[path] += own
+                        path = path.rpartition(">")[0]
+                rows = [(host, _token(""), "", False, 1, key, False, chars[""])]
+                rows += [(host, _token(p), p, False, n, key, main, chars[p]) for p, (n, main) in seen.items()]
+                rows += [(host, t, p, True, n, key, False, c) for t, (p, n, c) in texts.items()]
                 for row in rows:
                     for o, v in zip(out, row):
                         o.append(v)
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=names)
 
     ship(pages.sparkSession)
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    found = (rows.mapInArrow(tokens, "host string, token long, path string, n long, page long, main boolean, chars long")
+    found = (rows.mapInArrow(tokens, "host string, token long, path string, text boolean, n long, page long, main boolean, chars long")
              .dropDuplicates(["host", "token", "page"]))
-    # every page has the token of its root, so a host's pages are counted with its tokens
     per = found.groupBy("host", "token").agg(
-        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("support"), F.max("path").alias("path"),
+        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("support"), F.max("path").alias("path"), F.bool_or("text").alias("text"),
         F.max("n").alias("most"), F.bool_or("main").alias("main"), F.sum("chars").alias("chars"))
     per = written(per, "html-tokens")
-    size = per.groupBy("host").agg(F.max("support").alias("n_pages"))
-    return per.join(size, "host").filter(F.col("support") >= SHARE * F.col("n_pages"))
+    # every page has the token of its root
+    size = per.filter("path = '' AND NOT text").select("host", F.col("support").alias("n_pages"))
+    often = per.join(size, "host").filter(F.col("support") >= SHARE * F.col("n_pages"))
+    # tokens of one class have the same support, so a class is here whole or not at all
+    return often.join(often.groupBy("host", "vector").agg(F.count("*").alias("n_tokens")), ["host", "vector"])
 
 
 def slots(pages: DataFrame) -> DataFrame:
-    """(host, main, common, sure): per host the path to extract (null: the whole body) and its template texts.
+    """(host, main, gap, common, sure): per host the path to extract (null: the whole body) and its template texts.
 
-    Both lists are as long as the texts that half of a host's pages share, which
-    one page bounds.  Hosts of a single distinct page have no template texts.
+    ``gap``: no container means main, so the slot is the innermost template
+    container, once on a page, around GAP_SHARE of the text that fills the
+    template's gaps.  Both lists are as long as the texts that half of a host's
+    pages share, which one page bounds.  Hosts of a single distinct page have no
+    template texts.
     """
     valid = written(templates(pages), "html-templates")
     inner = F.struct((F.col("path").rlike(r">(article|main)[^>]*$")).cast("int").alias("named"), "chars",
                      F.length("path").alias("depth"), "path")
-    main = valid.filter("path IS NOT NULL AND main AND chars > 0").groupBy("host").agg(F.max(inner)["path"].alias("main"))
-    text = (valid.filter("path IS NULL AND n_pages > 1").groupBy("host").agg(
+    main = valid.filter("NOT text AND main AND chars > 0").groupBy("host").agg(F.max(inner)["path"].alias("named"))
+    fixed = valid.filter((F.col("support") > 1) & (F.col("n_tokens") >= CLASS_TOKENS))
+    # classes nest by path: what a template text takes of a container it takes of all containers around it
+    filled = (fixed.filter("text AND chars > 0").select("host", "chars", F.explode(_prefixes("path")).alias("path"))
+              .groupBy("host", "path").agg(F.sum("chars").alias("taken")))
+    left = (F.col("chars") - F.coalesce("taken", F.lit(0))).alias("left")
+    total = valid.filter("path = '' AND NOT text").join(filled, ["host", "path"], "left").select("host", left).withColumnRenamed("left", "total")
+    gaps = (fixed.filter("NOT text AND most = 1").join(filled, ["host", "path"], "left").select("host", "path", left).join(total, "host")
+            .filter((F.col("total") > 0) & (F.col("left") >= GAP_SHARE * F.col("total")) & ~F.col("path").rlike(r"^(>html[^>]*)?(>body[^>]*)?$"))
+            .groupBy("host").agg(F.max_by("path", F.struct(F.size(F.split("path", ">")), "path")).alias("inner")))
+    text = (fixed.filter("text").groupBy("host").agg(
         F.collect_list("token").alias("common"),
         F.collect_list(F.when((F.col("support") == F.col("n_pages")) & (F.col("n_pages") >= SURE_PAGES), F.col("token"))).alias("sure")))
-    return main.join(text, "host", "full_outer")
+    slot = main.join(gaps, "host", "full_outer").select("host", F.coalesce("named", "inner").alias("main"), F.col("named").isNull().alias("gap"))
+    return slot.join(text, "host", "full_outer")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -246,13 +280,15 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for page, main, common, sure in zip(*(b.column(c).to_pylist() for c in ("html", "main", "common", "sure"))):
-                found, seen = blocks(page)
+            for page, main, gap, common, sure in zip(*(b.column(c).to_pylist() for c in ("html", "main", "gap", "common", "sure"))):
+                found, seen, titles = blocks(page)
                 own = [p for p, (_, m) in seen.items() if m]
                 if main not in seen:
+                    gap = False
                     named = [p for p in own if re.search(r">(article|main)[^>]*$", p)]
                     main = max(named or own, key=len, default="")
-                alike = [(p, t) for p, t, skipped, _ in found if not skipped and (p == main or p.startswith(f"{main}>"))]
+                title = {i for i in titles if _token(*found[i][:2]) not in set(common or ())} if gap else ()
+                alike = [(p, t) for i, (p, t, skipped, _) in enumerate(found) if not skipped and (p == main or p.startswith(f"{main}>") or i in title)]
                 if not alike:
                     main = ""
                     alike = [(p, t) for p, t, skipped, _ in found if not skipped]
@@ -261,5 +297,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts.append("\n\n".join(rest or [t for _, t in alike]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return (told.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "main", "common", "sure")
+    return (told.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "main", "gap", "common", "sure")
             .mapInArrow(run, "page_id long, url string, text string"))

@@ -203,6 +203,19 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_html_slot_from_the_gaps_of_the_template(spark):
+    """No article, main or known name anywhere: the template's classes tell where the article is."""
+    page = ('<html><body><div class="zt"><p>Our site has all the stories</p></div><div class="zh"><h1>Tale {i}</h1></div><div class="zb"><div><p>{text}</p></div>'
+            '<div><p>Told again</p></div></div><div class="zs"><p>{i} views</p><p>Written in house</p></div></body></html>')
+    told = {i: " ".join(f"w{i}x{j}" for j in range(80)) for i in range(5)}
+    df = spark.createDataFrame([(i, "http://gap.example/%d" % i, page.replace("{i}", str(i)).replace("{text}", told[i])) for i in told],
+                               "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got == {i: f"Tale {i}\n\n{told[i]}\n\nTold again" for i in told}
+    valid = {(r.path, r.text): r for r in html_extract.templates(df).collect()}
+    assert valid[">html>body>div.zb", False].n_tokens > 5 and valid[">html>body>div.zb", False].vector != valid[">html>body>div.zb>div", False].vector
+
+
 def test_blocks_by_meaning():
     def main(page):
         return [t for _, t, skipped, _ in html_extract.blocks(page)[0] if not skipped]
