@@ -1,16 +1,16 @@
 """Main text of web pages by template deduction from equivalence classes of tokens.
 
 Tokens are the containers of a page (by their path) and its text blocks (path
-and text).  Over the distinct pages of a host every token has an occurrence
+and text).  Over the pages of a host, near-equal ones counted once, every token has an occurrence
 vector, a count per page; tokens with equal vectors form an equivalence class.
 A class is valid if it has ``CLASS_TOKENS`` tokens or more and is on at least half
 of the host's pages, and on more than one.  The containers of valid classes nest by
 their paths into the host's template; its texts of valid classes are fixed, and what
 other text there is fills its gaps.  The slot to extract is the container that means
 the article (article, main, or a class or id that says so), or else the innermost
-container that holds the gaps' text.  Text blocks of a valid class outside of it, and
-inside of it those on every one of ``SURE_PAGES`` pages or more, are template too.
-What remains in the slot, without menus, forms and the like, is the text.
+container that holds the gaps' text.  What is in the slot, without menus, forms and
+the like, is the text, however often it is repeated on the host.  Without a slot the
+body is read from its first to its last text that isn't fixed.
 
 A host's vectors are folded to a digest by one grouped aggregate, so no task
 holds the pages of a host.
@@ -28,12 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import ship, written
+from .base import ship, shingle_hashes, written
+from .jaccard_join import _coefficients, minhash
 
 SHARE = 0.5
 CLASS_TOKENS = 2
 GAP_SHARE = 0.9
-SURE_PAGES = 8
+#: Pages whose word shingles meet in one of BANDS bands of ROWS MinHash values are near-equal (at a Jaccard similarity of
+#: 0.9 with probability 0.99, at 0.5 with 0.03).
+BANDS, ROWS = 8, 8
 
 # Elements by what they mean.
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "object", "canvas", "math", "title", "button", "video", "audio")
@@ -193,13 +196,23 @@ def templates(pages: DataFrame) -> DataFrame:
 
     ``text`` marks text blocks, the others are containers.  ``vector`` digests the
     occurrence vector, so (host, vector) is the equivalence class and ``n_tokens``
-    its size.  Pages that are equal byte for byte count once.
+    its size.  Near-equal pages of a host count once: a page counts if no page with a
+    lesser key is near it.
     """
+    a, b = _coefficients(BANDS * ROWS)
+
+    def bands(found) -> list[int]:
+        words = shingle_hashes("\n".join(text for _, text, skipped, links in found if not skipped and 2 * links < len(text)))
+        if not len(words):
+            return []
+        m = minhash(words, a, b).reshape(BANDS, ROWS)
+        return [xxhash.xxh3_64_intdigest(row.tobytes(), seed=i) - 2 ** 63 for i, row in enumerate(m)]
+
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "token", "path", "text", "n", "page", "main", "chars"]
-        for b in batches:
+        names = ["host", "token", "path", "text", "n", "page", "main", "chars", "bands"]
+        for batch in batches:
             out: list[list] = [[] for _ in names]
-            for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 found, seen, _ = blocks(page)
                 key = xxhash.xxh3_64_intdigest(page.encode("utf-8", "replace")) - 2 ** 63
                 chars: dict[str, int] = defaultdict(int)
@@ -213,24 +226,28 @@ def templates(pages: DataFrame) -> DataFrame:
                     while own and path:
                         chars[path] += own
                         path = path.rpartition(">")[0]
-                rows = [(host, _token(""), "", False, 1, key, False, chars[""])]
-                rows += [(host, _token(p), p, False, n, key, main, chars[p]) for p, (n, main) in seen.items()]
-                rows += [(host, t, p, True, n, key, False, c) for t, (p, n, c) in texts.items()]
+                rows = [(host, _token(""), "", False, 1, key, False, chars[""], bands(found))]
+                rows += [(host, _token(p), p, False, n, key, main, chars[p], None) for p, (n, main) in seen.items()]
+                rows += [(host, t, p, True, n, key, False, c, None) for t, (p, n, c) in texts.items()]
                 for row in rows:
                     for o, v in zip(out, row):
                         o.append(v)
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=names)
 
     ship(pages.sparkSession)
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    found = (rows.mapInArrow(tokens, "host string, token long, path string, text boolean, n long, page long, main boolean, chars long")
-             .dropDuplicates(["host", "token", "page"]))
+    schema = "host string, token long, path string, text boolean, n long, page long, main boolean, chars long, bands array<long>"
+    found = written(rows.mapInArrow(tokens, schema), "html-found")
+    # every page has the token of its root, and it holds the bands
+    near = found.filter("bands IS NOT NULL").select("host", "page", F.explode("bands").alias("band")).distinct()
+    first = near.groupBy("host", "band").agg(F.min("page").alias("first"))
+    again = near.join(first, ["host", "band"]).filter("first < page").select("host", "page").distinct()
+    found = found.drop("bands").join(again, ["host", "page"], "left_anti").dropDuplicates(["host", "token", "page"])
     per = found.groupBy("host", "token").agg(
         F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("support"), F.max("path").alias("path"), F.bool_or("text").alias("text"),
         F.max("n").alias("most"), F.bool_or("main").alias("main"), F.sum("chars").alias("chars"))
     per = written(per, "html-tokens")
-    # every page has the token of its root
     size = per.filter("path = '' AND NOT text").select("host", F.col("support").alias("n_pages"))
     often = per.join(size, "host").filter(F.col("support") >= SHARE * F.col("n_pages"))
     # tokens of one class have the same support, so a class is here whole or not at all
@@ -238,12 +255,12 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def slots(pages: DataFrame) -> DataFrame:
-    """(host, main, gap, common, sure): per host the path to extract (null: the whole body) and its template texts.
+    """(host, main, gap, common): per host the path to extract (null: the whole body) and its template texts.
 
     ``gap``: no container means main, so the slot is the innermost template
     container, once on a page, around GAP_SHARE of the text that fills the
-    template's gaps.  Both lists are as long as the texts that half of a host's
-    pages share, which one page bounds.  Hosts of a single distinct page have no
+    template's gaps.  The list is as long as the texts that half of a host's
+    pages share, which one page bounds.  Hosts whose pages are all near-equal have no
     template texts.
     """
     valid = written(templates(pages), "html-templates")
@@ -259,9 +276,7 @@ def slots(pages: DataFrame) -> DataFrame:
     gaps = (fixed.filter("NOT text AND most = 1").join(filled, ["host", "path"], "left").select("host", "path", left).join(total, "host")
             .filter((F.col("total") > 0) & (F.col("left") >= GAP_SHARE * F.col("total")) & ~F.col("path").rlike(r"^(>html[^>]*)?(>body[^>]*)?$"))
             .groupBy("host").agg(F.max_by("path", F.struct(F.size(F.split("path", ">")), "path")).alias("inner")))
-    text = (fixed.filter("text").groupBy("host").agg(
-        F.collect_list("token").alias("common"),
-        F.collect_list(F.when((F.col("support") == F.col("n_pages")) & (F.col("n_pages") >= SURE_PAGES), F.col("token"))).alias("sure")))
+    text = fixed.filter("text").groupBy("host").agg(F.collect_list("token").alias("common"))
     slot = main.join(gaps, "host", "full_outer").select("host", F.coalesce("named", "inner").alias("main"), F.col("named").isNull().alias("gap"))
     return slot.join(text, "host", "full_outer")
 
@@ -271,7 +286,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty html give an empty text; pages without a host share the empty
     host.  A page without its host's slot is read by its own article, else by its
-    body.  If template texts were all that the slot holds, they stay.
+    body.  Nothing inside a slot goes for being repeated; of a whole body the template
+    texts before its first and after its last other text go, unless it has no other.
     """
     ship(pages.sparkSession)
     kept = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
@@ -280,22 +296,22 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for page, main, gap, common, sure in zip(*(b.column(c).to_pylist() for c in ("html", "main", "gap", "common", "sure"))):
+            for page, main, gap, common in zip(*(b.column(c).to_pylist() for c in ("html", "main", "gap", "common"))):
                 found, seen, titles = blocks(page)
+                fixed = set(common or ())
                 own = [p for p, (_, m) in seen.items() if m]
                 if main not in seen:
                     gap = False
                     named = [p for p in own if re.search(r">(article|main)[^>]*$", p)]
                     main = max(named or own, key=len, default="")
-                title = {i for i in titles if _token(*found[i][:2]) not in set(common or ())} if gap else ()
+                title = {i for i in titles if _token(*found[i][:2]) not in fixed} if gap else ()
                 alike = [(p, t) for i, (p, t, skipped, _) in enumerate(found) if not skipped and (p == main or p.startswith(f"{main}>") or i in title)]
-                if not alike:
-                    main = ""
+                if not main or not alike:
                     alike = [(p, t) for p, t, skipped, _ in found if not skipped]
-                drop = set((sure if main else common) or ())
-                rest = [t for p, t in alike if _token(p, t) not in drop] if drop else [t for _, t in alike]
-                texts.append("\n\n".join(rest or [t for _, t in alike]))
+                    free = [i for i, (p, t) in enumerate(alike) if _token(p, t) not in fixed] if fixed else []
+                    alike = alike[free[0]:free[-1] + 1] if free else alike
+                texts.append("\n\n".join(t for _, t in alike))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return (told.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "main", "gap", "common", "sure")
+    return (told.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "main", "gap", "common")
             .mapInArrow(run, "page_id long, url string, text string"))

@@ -216,6 +216,27 @@ def test_html_slot_from_the_gaps_of_the_template(spark):
     assert valid[">html>body>div.zb", False].n_tokens > 5 and valid[">html>body>div.zb", False].vector != valid[">html>body>div.zb>div", False].vector
 
 
+def test_html_keeps_repeated_text_of_articles(spark):
+    """Edited copies and repeated headings lose nothing at any number of pages; what frames a flat body goes at two pages."""
+    said = [" ".join(f"s{i}x{j}" for j in range(60)) for i in range(8)]
+    rows, want = [], {}
+    for n in (2, 3, 7, 8, 9):
+        for i in range(n):
+            for kind, page in (("copy", "<article>{}</article>"), ("body", "<body>{}</body>")):
+                texts = [*said, f"edited {i}"]
+                rows.append((f"http://{kind}{n}.example/{i}", page.format("".join(f"<p>{t}</p>" for t in texts)), "\n\n".join(texts)))
+            texts = ["Summary", " ".join(f"p{i}x{j}" for j in range(60)), "Notes", " ".join(f"q{i}x{j}" for j in range(60)), "The end"]
+            page = "".join(f"<p>{t}</p>" for t in texts)
+            rows.append((f"http://head{n}.example/{i}", f"<article>{page}</article>", "\n\n".join(texts)))
+            rows.append((f"http://flat{n}.example/{i}", f"<body>{page}</body>", "\n\n".join(texts[1:4])))
+    two = ["<p>" + "</p><p>".join([*said[:4], f"edited {i}"]) + "</p>" for i in range(2)]
+    rows += [(f"http://mixed.example/{i}", f"<body>{t}</body>", t[3:-4].replace("</p><p>", "\n\n"))
+             for i, t in enumerate([*two, "<p>" + said[5] + "</p>", "<p>" + said[6] + "</p>"])]
+    df = spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert [(r[0], got[i]) for i, r in enumerate(rows)] == [(r[0], r[2]) for r in rows]
+
+
 def test_blocks_by_meaning():
     def main(page):
         return [t for _, t, skipped, _ in html_extract.blocks(page)[0] if not skipped]
