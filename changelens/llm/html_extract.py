@@ -51,6 +51,9 @@ SKIPPED_NAMES = frozenset(
     "navigation topnav breadcrumb breadcrumbs footer foot header masthead topbar toolbar comments comment commentlist replies disqus respond reviews "
     "share sharing social related recommended recommendations more widget widgets pagination pager paging login search searchbox skip tags "
     "disclaimer copyright legal paywall".split())
+# Words that mean advertising in any name, even of a paragraph in an article.
+ADS = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot adsense sponsor sponsored sponsors".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 MAIN_NAMES = frozenset("article content main post entry story maincontent articlebody postcontent entrycontent".split())
 
@@ -64,72 +67,75 @@ _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _named(value: str) -> tuple[bool, bool, bool]:
-    """What class or id names say: (main, skipped for sure, skipped perhaps).
+#: What class, id, role and the like say of an element, the strongest word last.
+NOTHING, PERHAPS, ADVERT, SURE, HIDDEN = range(5)
+
+
+def _named(value: str) -> tuple[bool, int]:
+    """What class or id names say: (main, NOTHING to SURE for skipped).
 
     A name whose words all mean "not main" is sure; one with such a word among
-    others ("site-header") gives way to a name that means main.
+    others ("site-header") is not, though an advertising word is more than a hint.
     """
-    main = sure = perhaps = False
+    main, says = False, NOTHING
     for name in value.split():
         words = _NAME.findall(name)
         whole = "".join(words)
         if whole in MAIN_NAMES or words and all(w in MAIN_NAMES for w in words):
             main = True
         elif whole in SKIPPED_NAMES or words and all(w in SKIPPED_NAMES for w in words):
-            sure = True
+            says = max(says, HIDDEN if ADS.intersection(words) else SURE)
         elif any(w in SKIPPED_NAMES for w in words):
-            perhaps = True
-    return main, sure, perhaps
+            says = max(says, ADVERT if ADS.intersection(words) else PERHAPS)
+    return main, says
 
 
-def _meaning(name: str, attrs: str) -> tuple[str, bool, bool]:
-    """(path step, skipped, main) of a start tag."""
-    step, skipped, main = name, name in SKIPPED, name in ("article", "main")
+def _meaning(name: str, attrs: str) -> tuple[str, int, bool]:
+    """(path step, NOTHING to HIDDEN for skipped, main) of a start tag."""
+    step, skipped, main = name, HIDDEN if name in SKIPPED else NOTHING, name in ("article", "main")
     if attrs and not attrs.isspace():
-        sure = perhaps = False
+        names = NOTHING
         for key, value in _ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
                 if key == "class":
                     step += "." + "-".join(_NAME.findall(value))
                 says = _named(value)
-                main, sure, perhaps = main or says[0], sure or says[1], perhaps or says[2]
+                main, names = main or says[0], max(names, says[1])
             elif key == "role":
-                skipped, main = skipped or value in SKIPPED_ROLES, main or value == "main"
+                skipped, main = HIDDEN if value in SKIPPED_ROLES else skipped, main or value == "main"
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                skipped = True
+                skipped = HIDDEN
         if name not in ("html", "body"):
-            skipped = skipped or sure or perhaps and not main
-    return step, skipped, main and not skipped
+            skipped = max(skipped, NOTHING if main and names < SURE else names)
+    return step, skipped, main and skipped < SURE
 
 
 def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, tuple[int, bool]], list[int]]:
     """Blocks of a page in order, as (path, text, skipped, characters in links), its containers as path -> (count, main), and the places of h1 blocks.
 
-    A container inside a skipped one is skipped.  A block ends at any start or
-    end of a container, paragraph, heading or list item.  Missing end tags are
-    closed with their parents; a tag cut off at the end of the page is dropped.
+    A container inside a skipped one is skipped.  A container skipped for a word
+    among others in a name is not if it holds a main container with half the text of the
+    page's longest, or, on a page without text in one, half of the page's text; in the article (the whole
+    page if none is named) headings and other leaves aren't skipped for such a word, headings not for any name but advertising.
+    A block ends at any start or end of a container, paragraph, heading or list
+    item.  Missing end tags are closed with their parents; a tag cut off at the
+    end of the page is dropped.
     """
-    out: list[tuple[str, str, bool, int]] = []
-    titles: list[int] = []
-    title = False
-    seen: dict[str, tuple[int, bool]] = {}
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # (tag, path, skipped) of open containers
+    raw: list[tuple[int, str, str, int, int]] = []  # (container, text, leaf, what its names say, characters in links)
+    nodes: list[tuple[int, str, int, bool]] = [(0, "", NOTHING, False)]  # (parent, path, what its names say, main) of containers
+    stack: list[tuple[str, int]] = [("", 0)]  # (tag, container) of open containers
     held: list[str] = []
     links = in_link = 0
-    leaf = ""  # name of an open paragraph, heading or item whose class says that it isn't main text
+    leaf, says = "", NOTHING  # name of the open paragraph, heading or item and what its names say
 
     def flush():
-        nonlocal links, title
+        nonlocal links
         text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
         if text:
-            _, path, skipped = stack[-1]
-            if title:
-                titles.append(len(out))
-            out.append((path, text, skipped or bool(leaf), links))
+            raw.append((stack[-1][1], text, leaf, says, links))
         held.clear()
-        links, title = 0, False
+        links = 0
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -149,7 +155,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, tuple
             held.append("\n")
         elif name in CONTAINERS or name == "head":
             flush()
-            in_link, leaf = 0, ""
+            in_link, leaf, says = 0, "", NOTHING
             if m["close"]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
@@ -160,20 +166,60 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, tuple
                     while stack[-1][0] == "head":
                         stack.pop()
                 step, skipped, main = _meaning(name, m["attrs"])
-                _, path, outer = stack[-1]
+                parent = stack[-1][1]
+                path = nodes[parent][1]
                 if name == "header" and "article" not in path and "main" not in path:
-                    skipped = True
-                path = f"{path}>{step}"
-                stack.append((name, path, skipped or outer))
-                n, was = seen.get(path, (0, False))
-                seen[path] = (n + 1, was or main and not outer)
+                    skipped = HIDDEN
+                stack.append((name, len(nodes)))
+                nodes.append((parent, f"{path}>{step}", skipped, main))
         elif name in LEAVES:
             flush()
-            title = name == "h1" and not m["close"]
-            in_link, leaf = 0, "" if m["close"] or not m["attrs"] or not _meaning(name, m["attrs"])[1] else name
+            in_link, leaf, says = 0, "" if m["close"] else name, NOTHING
+            if leaf and m["attrs"]:
+                says = _meaning(name, m["attrs"])[1]
     if at < len(page):
         held.append(page[at:])
     flush()
+    return _resolved(raw, nodes)
+
+
+def _resolved(raw: list, nodes: list) -> tuple[list, dict, list]:
+    """Decide what is skipped once the whole page is known; see ``blocks``."""
+    gone, within = [False], [0]  # skipped for sure, with all inside; the innermost main container around
+    for i, (parent, _, says, main) in enumerate(nodes[1:], 1):
+        gone.append(gone[parent] or says >= SURE)
+        within.append(i if main and not gone[i] else within[parent])
+    own = [0] * len(nodes)  # text of a main container outside of the main containers in it
+    chars = [0] * len(nodes)
+    for node, text, _, says, links in raw:
+        if not gone[node] and says < SURE:
+            chars[node] += len(text)
+            own[within[node]] += max(0, len(text) - 2 * links)
+    own[0] = 0
+    longest = max(own)
+    held = own[:]  # the longest main container in a container
+    for i in range(len(nodes) - 1, 0, -1):
+        parent = nodes[i][0]
+        chars[parent] += chars[i]
+        held[parent] = max(held[parent], held[i])
+    skipped = [False]
+    seen: dict[str, tuple[int, bool]] = {}
+    for i, (parent, path, says, main) in enumerate(nodes[1:], 1):
+        gives_way = 2 * held[i] >= longest if longest else 2 * chars[i] >= chars[0]
+        skipped.append(skipped[parent] or says >= SURE or says > NOTHING and not gives_way)
+        n, was = seen.get(path, (0, False))
+        seen[path] = (n + 1, was or main and not skipped[i])
+    out: list[tuple[str, str, bool, int]] = []
+    titles = []
+    for node, text, leaf, says, links in raw:
+        least = PERHAPS
+        if within[node] or not longest:
+            least = ADVERT
+            if leaf in HEADINGS and says == SURE:
+                least = HIDDEN
+        if leaf == "h1":
+            titles.append(len(out))
+        out.append((nodes[node][1], text, skipped[node] or says >= least, links))
     return out, seen, titles
 
 

@@ -248,6 +248,21 @@ def test_blocks_by_meaning():
     assert main('<form><p>no</form><div hidden>no</div><p style="display: none">no</p><p>&eacute;&#233;&#xe9; &amp;amp;') == ["ééé &amp;"]
 
 
+def test_partial_names_give_way_to_the_article():
+    def main(page):
+        return [t for _, t, skipped, _ in html_extract.blocks(page)[0] if not skipped]
+
+    for name in ("container has-sidebar", "content-sidebar-wrap", "sticky-header", "with-footer"):
+        for tag in ("article", "main"):
+            page = f'<div class="{name}"><div class="site-menu"><p>no</p></div><{tag}><h1>T</h1><p>Some text</p></{tag}><div class="related-posts"><article>t</article></div></div>'
+            assert main(page) == ["T", "Some text"]
+            assert html_extract.blocks(page)[1][f">div.{name.replace(' ', '-')}>{tag}"] == (1, True)
+    assert main('<div class="with-footer"><p>Most of the text of the page</p></div><div class="page-footer">no</div>') == ["Most of the text of the page"]
+    article = '<h1 class="header">A</h1><h2 class="section-header">B</h2><p class="social-history">C</p><li class="more-info">D</li><p class="ad-slot">no</p><p class="share">no</p><h3 class="ads">no</h3>'
+    assert main(f"<article>{article}</article>") == ["A", "B", "C", "D"]
+    assert main('<div class="sidebar"><article>no</article></div><div class="sidebar-box"><p>no</p></div><article>Text</article>') == ["Text"]
+
+
 def test_pipeline_stages(spark, docs, labels, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
