@@ -39,7 +39,9 @@ GAP_SHARE = 0.9
 BANDS, ROWS = 8, 8
 
 # Elements by what they mean.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "object", "canvas", "math", "title", "button", "video", "audio")
+RAW = ("script", "style", "iframe", "textarea", "title")  # no markup inside: all goes up to the end tag
+EMBEDDED = frozenset("noscript template svg select object canvas button video audio".split())
+UNNESTED = frozenset("select button".split())  # a start tag ends an open one
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 CONTAINERS = frozenset("html body main article section div table tbody thead tr td th ul ol dl header footer nav aside form figure blockquote "
                        "center details fieldset dialog menu address".split())
@@ -60,7 +62,7 @@ MAIN_NAMES = frozenset("article content main post entry story maincontent articl
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)|=|[^>=]++)*+)>"
     r"|<[a-zA-Z/!?][^>]*+(?:>|\Z)", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -111,6 +113,32 @@ def _meaning(name: str, attrs: str) -> tuple[str, int, bool]:
     return step, skipped, main and skipped < SURE
 
 
+def _closed(tags: list) -> set[int]:
+    """Places of the start tags of embedded elements whose end tag comes before that of a container around them."""
+    ends: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    where: dict[str, list[int]] = defaultdict(list)  # places on the stack by name
+    for at, m in enumerate(tags):
+        name = (m["name"] or "").lower()
+        if name not in EMBEDDED and name not in CONTAINERS:
+            continue
+        if m["close"]:
+            if where[name]:
+                to = where[name][-1]
+                if name in EMBEDDED:
+                    ends.add(stack[to][1])
+                while len(stack) > to:
+                    where[stack.pop()[0]].pop()
+        elif not (name in EMBEDDED and m["attrs"].endswith("/")):
+            if name in UNNESTED and where[name]:
+                to = where[name][-1]
+                while len(stack) > to:
+                    where[stack.pop()[0]].pop()
+            where[name].append(len(stack))
+            stack.append((name, at))
+    return ends
+
+
 def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, tuple[int, bool]], list[int]]:
     """Blocks of a page in order, as (path, text, skipped, characters in links), its containers as path -> (count, main), and the places of h1 blocks.
 
@@ -120,7 +148,9 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, tuple
     page if none is named) headings and other leaves aren't skipped for such a word, headings not for any name but advertising.
     A block ends at any start or end of a container, paragraph, heading or list
     item.  Missing end tags are closed with their parents; a tag cut off at the
-    end of the page is dropped.
+    end of the page is dropped.  Embedded elements (buttons, drawings, players) go
+    with all inside; one that is closed in its start tag holds nothing, and one
+    without an end tag only what comes before the next block.
     """
     raw: list[tuple[int, str, str, int, int]] = []  # (container, text, leaf, what its names say, characters in links)
     nodes: list[tuple[int, str, int, bool]] = [(0, "", NOTHING, False)]  # (parent, path, what its names say, main) of containers
@@ -138,17 +168,39 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, tuple
         links = 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
+    tags = list(_TOKEN.finditer(page))
+    closed = _closed(tags) if any(m["name"] and m["name"].lower() in EMBEDDED for m in tags) else ()
+    inside = 0  # embedded elements that are open and have an end tag
+    loose = ""  # an embedded element without one: its text ends with the next block
+    opened: list[str] = []
+    for place, m in enumerate(tags):
+        if m.start() > at and not inside and not loose:
             held.append(page[at:m.start()])
             links += in_link and m.start() - at
         at = m.end()
         name = m["name"]
         if name is None:
-            if m["raw"] and m["raw"].lower() != "svg":
+            if m["raw"] and not inside:
                 held.append(" ")
             continue
         name = name.lower()
+        if name in EMBEDDED:
+            if m["close"]:
+                if name in opened:
+                    while opened.pop() != name:
+                        pass
+            elif place in closed:
+                opened.append(name)
+            elif not inside and not m["attrs"].endswith("/"):
+                loose = name
+            if not inside and name != "svg":
+                held.append(" ")
+            inside = len(opened)
+            continue
+        if inside:
+            continue
+        if name in CONTAINERS or name in LEAVES:
+            loose = ""
         if name == "a":
             in_link = 0 if m["close"] else 1
         elif name == "br":
@@ -177,7 +229,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, tuple
             in_link, leaf, says = 0, "" if m["close"] else name, NOTHING
             if leaf and m["attrs"]:
                 says = _meaning(name, m["attrs"])[1]
-    if at < len(page):
+    if at < len(page) and not inside and not loose:
         held.append(page[at:])
     flush()
     return _resolved(raw, nodes)

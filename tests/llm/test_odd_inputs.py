@@ -263,6 +263,21 @@ def test_partial_names_give_way_to_the_article():
     assert main('<div class="sidebar"><article>no</article></div><div class="sidebar-box"><p>no</p></div><article>Text</article>') == ["Text"]
 
 
+def test_malformed_tags_keep_the_rest_of_the_page():
+    def main(page):
+        return [t for _, t, skipped, _ in html_extract.blocks(page)[0] if not skipped]
+
+    for tag in ("svg", "button", "object", "canvas", "video", "audio", "select", "noscript", "template"):
+        assert main(f'<p>A<{tag} class="i"/> B</p><p>C</p>') == ["A B", "C"], tag
+        assert main(f'<p>A</p><p>B<{tag} class="i">no<p>C</p><div>D</div>') == ["A", "B", "C", "D"], tag
+        assert main(f'<p>A</p><{tag}/><p>B</p><div><{tag}><div>no</div><p>no</p></{tag}></div><p>C</p>') == ["A", "B", "C"], tag
+        assert main(f'<div><{tag}>no</div><p>A</p><div><{tag}>no</{tag}>B</div></{tag}>C') == ["A", "B", "C"], tag
+    assert main('<p>A<button>no<p>B</p><button>no</button><p>C') == ["A", "B", "C"]
+    assert main('<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>') == ["So x=1 holds"]
+    assert main("<p title=it's>A</p><p>it's B</p><p title='a > b' lang=\"x>y\">C</p><p 'q>D</p>") == ["A", "it's B", "C", "D"]
+    assert main('<p>A<svg><title>no</title><svg><text>no</text></svg></svg>B<script>"<p>no"</script></p>') == ["AB"]
+
+
 def test_pipeline_stages(spark, docs, labels, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
