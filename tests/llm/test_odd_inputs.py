@@ -183,6 +183,22 @@ def test_licenses(spark):
     assert licenses.scan(df).count() == len(files) and licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_told_from_their_siblings(spark):
+    gnu = ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU {0}General Public License\nas published by the "
+           "Free Software Foundation; either version {1}\nof the License, or (at your option) any later version.\n\nint main() {{ return {1}; }}\n" + PROSE)
+    clauses = [licenses._BSD, licenses._BSD_TWO, licenses._BSD_THREE, licenses._BSD_END]
+    T = licenses.texts
+    want = [("GPL-2.0", gnu.format("", "2")), ("GPL-3.0", gnu.format("", "3")), ("LGPL-2.1", gnu.format("Lesser ", "2.1")), ("LGPL-3.0", gnu.format("Lesser ", "3")),
+            ("LGPL-2.0", gnu.format("Library ", "2")), ("AGPL-3.0", gnu.format("Affero ", "3")), (None, gnu.format("", "9")),
+            ("BSD-2-Clause", "\n\n".join(clauses[:2] + clauses[3:])), ("BSD-3-Clause", "\n\n".join(clauses)), (None, licenses._BSD),
+            ("BSD-2-Clause", " ".join(clauses[:2] + clauses[3:])), ("MIT", "Copyright 2020 A\n\n" + licenses._MIT), (None, "the GNU General Public License"),
+            ("GPL-2.0", T.GPL_2_0), ("GPL-3.0", T.GPL_3_0), ("LGPL-2.1", T.LGPL_2_1), ("LGPL-3.0", T.LGPL_3_0), ("Apache-2.0", T.APACHE_2_0), ("MPL-2.0", T.MPL_2_0),
+            ("CC0-1.0", T.CC0_1_0), ("AGPL-3.0", T.GPL_3_0.replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC").replace("GNU General", "GNU Affero General"))]
+    files = [(i, f"d{i}/LICENSE", text) for i, (_, text) in enumerate(want)] + [(100 + i, f"d{i}/x.c", "code") for i in range(len(want))]
+    got = {r.id: r.license for r in licenses.scan(spark.createDataFrame(files, "id long, path string, text string")).collect()}
+    assert [(got[i], got[100 + i]) for i in range(len(want))] == [(name, name) for name, _ in want]
+
+
 PAGE = ('<html><head><title>T</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav><div class="site-header">Brand</div>'
         '<div id="main"><h1>Title {i}</h1><p>Body &amp; text {i}<p>Second\n  line <b>bold<br>{i}</b></p><p class="ad-slot">Buy</p>'
         '<div class="comments"><p>I agree</p></div></div><aside>More</aside><div class="x">Same everywhere</div>'
