@@ -1,9 +1,10 @@
-"""Jaccard self-join of word shingles by a MinHash LSH forest with exact verification.
+"""Jaccard self-join of word shingles by a MinHash LSH forest, reduced to bands, with exact verification.
 
 Texts with the same shingle set collapse to one entry first.  Every entry has
-``TREES`` tries; its path in a trie is a run of MinHash values.  Matched prefixes
-are shortened from ``LONGEST`` until a pair at the threshold meets in some trie
-with probability ``RECALL`` (pairs above the threshold meet more often).  Entries
+``TREES`` bands; its node in a band is the hash of a run of MinHash values.  The run
+is as long, up to ``LONGEST``, as lets a pair at the threshold meet in some band
+with probability ``RECALL`` (pairs above the threshold meet more often); the
+threshold is fixed, so no prefix is shortened by what the data holds.  Entries
 that share a node are compared by one-byte sketches inside the task that holds
 the node; it passes on a spanning forest, at most one row per member, never the
 pairs.  Entries connected that way are verified exactly against each other in
