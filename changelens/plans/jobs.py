@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import path_category, path_extension
@@ -24,13 +24,13 @@ def mine_bug_fix_changes(commits: DataFrame, files: DataFrame, done: DataFrame |
     flattened to one row per (commit, file), minus the (hash, path) keys already done.
 
     The message and branch filters run before the join; whether a commit touches
-    a ``suffix`` file is told by its own files, so the file table is read once.  The
-    anti-join against ``done`` skips finished work before any costly step downstream.
+    a ``suffix`` file is one boolean per hash, aggregated before its shuffle, so no
+    task gathers a commit's rows to tell.  The anti-join against ``done`` skips finished work before any costly step downstream.
     """
     c = M.keyword_any_filter(commits, "message").where(F.col("branch") == branch)
     rows = files.join(c.select("hash", one_line("message").alias("message")), "hash")
-    touched = F.bool_or(F.col("path").endswith(suffix)).over(Window.partitionBy("hash"))
-    rows = rows.withColumn("__touched", touched).where("__touched").drop("__touched")
+    touched = files.groupBy("hash").agg(F.bool_or(F.col("path").endswith(suffix)).alias("__touched")).where("__touched")
+    rows = rows.join(touched.select("hash"), "hash", "left_semi")
     if done is not None:
         rows = C.done_anti_join(rows, done, ["hash", "path"])
     return rows

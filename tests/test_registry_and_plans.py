@@ -36,3 +36,16 @@ def test_filter_and_pruning_reach_the_scan(spark):
 def test_done_anti_join_plans_an_anti_join(spark):
     p = _plan(E.queries()["done_anti_join"](spark, SMOKE))
     assert "LeftAnti" in p
+
+
+def test_miner_gathers_no_commit_in_a_window(spark):
+    assert "Window" not in _plan(E.queries()["mine_bug_fix_changes"](spark, SMOKE))
+
+
+def test_miner_takes_all_files_of_touched_commits(spark):
+    from changelens.plans.jobs import mine_bug_fix_changes
+
+    commits = spark.createDataFrame([(h, "fix a bug", "main") for h in "abc"], "hash string, message string, branch string")
+    files = spark.createDataFrame([("a", "x.py"), ("a", "y.c"), ("a", "y.c"), ("b", "z.c"), ("c", None), ("c", "q.py"), (None, "n.py")], "hash string, path string")
+    got = mine_bug_fix_changes(commits, files).select("hash", "path").collect()
+    assert sorted(map(str, got)) == sorted(map(str, files.filter("hash IN ('a', 'c')").collect()))
