@@ -149,3 +149,10 @@ def test_literals_and_comments_are_not_code(spark):
     doc = 'def f(x):\n    """Wait for it and return if done or not"""\n    y = "# no comment and if"\n    return y  # if or and\n'
     row = G.code_metrics(spark.createDataFrame([(doc,)], "s string"), "s", "m_").first()
     assert row.m_cc == 1.0 and row.m_loc == 4
+
+
+def test_code_metrics_take_a_literal_of_a_million_characters(spark):
+    long = "x = '" + "a\\'" * 500_000 + "'\n"
+    df = spark.createDataFrame([(1, f'y = "{"b" * 1_000_000}"\nif y > 1: y = 2\n', long)], "k int, before string, after string")
+    r = G.code_change_metrics(df).first()
+    assert r.error is None and r.loc_change == -1 and r.cc_change == 0.0

@@ -97,3 +97,15 @@ def test_batch_checkpoint_skips_finished(spark):
     r1 = RS.batch_checkpoint(df, out, ["k"], 4)
     r2 = RS.batch_checkpoint(df, out, ["k"], 4)
     assert r1.count() == 200 and r2.count() == 200
+
+
+def test_flagged_rows_with_a_cell_of_a_megabyte(spark):
+    path = os.path.join(tempfile.mkdtemp(dir="/tmp"), "big.csv")
+    cell = 'def f():\n    return ""x"", 1\n' * 40_000
+    with open(path, "w") as f:
+        f.write(f'Hash,Message,Filename\nh1,"{cell}",f1\nh2,"{cell}",f2,"{cell}"\n')
+    good, bad = CSV.csv_lenient_scan(spark, path, SCHEMA)
+    assert [r.Hash for r in good.collect()] == ["h1"]
+    assert [(r.Hash, len(r.extra[0])) for r in bad.collect()] == [("h2", len(cell) + 2)]
+    with pytest.raises(Exception, match="malformed row"):
+        CSV.csv_strict_scan(spark, path, SCHEMA).collect()
