@@ -10,6 +10,7 @@ sequences.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -77,18 +78,25 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> np.ndarray:
+    def learn(self, texts: list[list[str]]) -> None:
+        """Have the ids of every word of ``texts`` in the cache; words it lacks are encoded in one call."""
         if len(self.young) > CACHED_WORDS // 2:
             self.old, self.young = self.young, {}
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        new = set(words).difference(self.young)
-        if new:
-            known = new.intersection(self.old)
-            self.young.update((w, self.old[w]) for w in known)
-            new = list(new.difference(known))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.young[w] = np.array(e.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(self.young.__getitem__, words)), np.uint32)
+        young, old, new = self.young, self.old, []
+        for w in set().union(*texts):
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else ()):
+            young[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def batch_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the words of all of them are looked up together."""
+        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        self.learn(words)
+        return [np.frombuffer(b"".join(map(self.young.__getitem__, w)), "<u4") for w in words]
 
 
 def _vector_table(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,8 +130,8 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
                 n, places, packed = [], [], []
-                for text in b.column("__t"):
-                    ids = np.append(enc.ids(text.as_py()), np.uint32(end))
+                for ids in enc.batch_ids(b.column("__t").to_pylist()):
+                    ids = np.append(ids, np.uint32(end))
                     n.append(len(ids))
                     places.append(_place(ids, table))
                     packed.append(zlib.compress(ids.astype(kind).tobytes(), 1))

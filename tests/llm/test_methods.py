@@ -144,3 +144,21 @@ def test_articles_of_the_pages(spark):
         body = re.sub("<br>", " ", re.sub("</?b>", "", re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]))
         want = [" ".join(html.unescape(x).split()) for x in re.split("<[^>]*>", body)]
         assert got[r.page_id] == "\n\n".join(x for x in want if x)
+
+
+def test_word_cache_of_two_generations_keeps_ids(monkeypatch):
+    import public_tokenizers
+
+    class Untouchable(dict):
+        def __iter__(self):
+            raise AssertionError("the old generation is walked")
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 40)
+    enc = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(4)
+    texts = [" ".join(f"word{rng.randrange(300)}" for _ in range(rng.randrange(60))) + rng.choice(["", "\n", "  \tend"]) for _ in range(80)]
+    for at in range(0, len(texts), 7):
+        enc.old = Untouchable(enc.old)
+        for text, ids in zip(texts[at:at + 7], enc.batch_ids(texts[at:at + 7])):
+            assert ids.tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert enc.old
