@@ -131,6 +131,19 @@ def v_code(t: Tables) -> DataFrame:
                     F.concat_ws(NL, head, after, tail).alias("after"))
 
 
+def v_branch(t: Tables) -> DataFrame:
+    """One row per commit with its first parent: runs of commits, side branches off the third commit before, a few beginnings."""
+    k = F.col("o_orderkey")
+    return t.orders.select(k.alias("hash"), F.when(k % 13 == 0, None).when(k % 5 == 0, k - 3).otherwise(k - 1).alias("parent"))
+
+
+def v_version(t: Tables) -> DataFrame:
+    """One row per (commit, file): the file's text there, null where the commit deletes it."""
+    path = F.concat(F.lit("src/f"), (F.col("l_partkey") % 40).cast("string"), F.lit(".py"))
+    g = t.lineitem.groupBy(F.col("l_orderkey").alias("hash"), path.alias("path")).agg(F.max("l_partkey").alias("p"), F.min("l_linenumber").alias("n"))
+    return g.select("hash", "path", F.when(F.col("n") % 6 != 5, F.concat(F.lit("part "), F.col("p").cast("string"), F.lit(NL + "line "), F.col("n").cast("string"))).alias("content"))
+
+
 # ---------------------------------------------------------------- SQL side (oracle)
 
 SQL_LINES = ("(CASE WHEN {x} = '' THEN []::VARCHAR[] ELSE string_split(CASE WHEN right({x}, 1) = chr(10) "
@@ -180,6 +193,13 @@ SELECT vec_id // 4 AS grp,
        first(embedding) FILTER (WHERE vec_id % 4 = 2) AS model_vec,
        first(embedding) FILTER (WHERE vec_id % 4 = 3) AS rect_vec
 FROM embeddings GROUP BY vec_id // 4""",
+    "v_branch": """
+SELECT o_orderkey AS hash, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN o_orderkey - 3 ELSE o_orderkey - 1 END AS parent
+FROM orders""",
+    "v_version": """
+SELECT l_orderkey AS hash, 'src/f' || (l_partkey % 40) || '.py' AS path,
+       CASE WHEN min(l_linenumber) % 6 <> 5 THEN 'part ' || max(l_partkey) || chr(10) || 'line ' || min(l_linenumber) END AS content
+FROM lineitem GROUP BY 1, 2""",
     "v_code": """
 SELECT hash,
        CASE WHEN n = 1 THEN '' ELSE concat_ws(chr(10), 'def f' || hash || '(x):', before_body, '    return x') END AS before,
@@ -214,6 +234,8 @@ def with_views(sql: str, *names: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{n} AS ({SQL_VIEWS[n].strip()})" for n in order)
     body = sql.strip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{body[14:].lstrip()}"
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"
