@@ -7,8 +7,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
 from ..session import ship_package as ship  # noqa: F401
+from ..staging import join_per_key, written  # noqa: F401
 
 #: A word is a run of characters other than space and \t \n \v \f \r (what bytes.split() finds).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,18 +20,6 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _FINAL = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
-
-    Cuts the lineage the way checkpoint() does, but computes the rows once and
-    keeps columns prunable.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_array(text: Column) -> Column:
     """Words of a text as an array (null text: none)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")

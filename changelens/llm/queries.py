@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_rotation, fingerprints, html_extract, jaccard_join, licenses, line_dedup, mixing, packing, quality_rules, toxicity
+from . import chat_rotation, fingerprints, html_extract, jaccard_join, language_id, licenses, line_dedup, merkle, mixing, packing, quality_rules, toxicity, vector_codes
 from .base import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -177,3 +177,103 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string")).alias("path"), "text")
     return licenses.scan(files).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product code and error of every sound vector: four parts, 256 entries each, four rounds."""
+    codes, codebooks = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(codes).select("vec_id", "code", "error", "label_error",
+                                                       F.lit(vector_codes.codebooks_digest(codebooks)).alias("codebooks_sha256"))
+
+
+def _vector_codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """The rounds written out: pairs of distinct parts and entries, the least distance, then floors of means."""
+    sql = r"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS (SELECT vec_id, p, v[p * 16 + 1:p * 16 + 16] AS x FROM k, (SELECT unnest(range(4)) AS p)),
+w AS MATERIALIZED (SELECT p, x, count(*) AS n FROM part GROUP BY p, x),
+c0 AS MATERIALIZED (SELECT p, (row_number() OVER (PARTITION BY p ORDER BY vec_id, x)) - 1 AS e, x AS c FROM part
+       WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256))"""
+    for r in range(rounds + 1):
+        sql += rf""",
+n{r} AS MATERIALIZED (SELECT p, x, any_value(n) AS n, min({{'d': d, 'e': e}}) AS best FROM
+       (SELECT w.p, w.x, w.n, e, list_sum(list_transform(list_zip(w.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM w JOIN c{r} c ON c.p = w.p) GROUP BY p, x)"""
+        if r < rounds:
+            sql += rf""",
+m{r} AS (SELECT p, e, list(floor_mean ORDER BY i) AS c FROM
+         (SELECT p, best.e AS e, i, (sum(x[i] * n) - ((sum(x[i] * n) % sum(n)) + sum(n)) % sum(n)) // sum(n) AS floor_mean
+          FROM n{r}, (SELECT unnest(range(1, 17)) AS i) GROUP BY p, best.e, i) GROUP BY p, e),
+c{r + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.c::BIGINT[], c.c) AS c FROM c{r} c LEFT JOIN m{r} m ON m.p = c.p AND m.e = c.e)"""
+    return sql + rf""",
+code AS (SELECT part.vec_id, string_agg(printf('%02x', best.e), '' ORDER BY part.p) AS code, sum(best.d)::BIGINT AS error
+         FROM part JOIN n{rounds} b ON b.p = part.p AND b.x = part.x GROUP BY part.vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256
+FROM k JOIN code USING (vec_id)
+"""
+
+
+ORACLE["op11_vector_codes"] = _vector_codes_sql()
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by filters of the documents that aren't held out (hashed filters have no SQL)."""
+    docs = read(spark, sf_dir, "documents")
+    filters = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
+    return language_id.predict(docs, filters).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root that its (tampered) text folds to."""
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+def _merkle_sql(levels: int = 8, top_levels: int = 3) -> str:
+    """Levels written out, for up to 8**levels rows a language and 8**top_levels languages; a node without others in its tree stays."""
+    def leaf(text: str) -> str:
+        parts = [f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(parts)})"
+
+    crc = ("xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), "
+           "lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))")
+    low = f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')"
+    sql = f"""
+WITH raw AS (SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, {leaf("text")} AS leaf,
+                    CASE WHEN {crc} % 3 = 0 THEN {leaf(low)} ELSE {leaf("text")} END AS given FROM documents),
+d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM raw),
+t0 AS (SELECT g, i, n, leaf AS h FROM d)"""
+
+    def climb(t: str, s: str, k: int) -> str:
+        return f""",
+{s}{k} AS MATERIALIZED (SELECT a.g, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+       coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+       FROM {t}{k} a JOIN {t}{k} b ON a.g = b.g AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.g, a.i),
+{t}{k + 1} AS MATERIALIZED (SELECT g, i // 8 AS i, (n + 7) // 8 AS n, CASE WHEN n = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h
+       FROM {t}{k} GROUP BY g, i // 8, n)"""
+
+    for k in range(levels):
+        sql += climb("t", "s", k)
+    sql += f""",
+u0 AS (SELECT 0 AS g, g AS i, count(*) OVER () AS n, h FROM t{levels})"""
+    for k in range(top_levels):
+        sql += climb("u", "v", k)
+    sql += """,
+p0 AS (SELECT doc_id, leaf, g, i, '' AS proof, given AS folded FROM d)"""
+    steps = [("s", k, "p.g", f"p.i // {8 ** k}") for k in range(levels)] + [("v", k, "0", f"p.g // {8 ** k}") for k in range(top_levels)]
+    for j, (s, k, g, i) in enumerate(steps):
+        sql += f""",
+p{j + 1} AS (SELECT doc_id, leaf, p.g, p.i, CASE WHEN s.l IS NULL THEN proof ELSE proof || s.l || s.r END AS proof,
+       CASE WHEN s.l IS NULL THEN folded ELSE sha256(s.l || folded || s.r) END AS folded
+       FROM p{j} p LEFT JOIN {s}{k} s ON s.g = {g} AND s.i = {i})"""
+    return sql + f"""
+SELECT doc_id, leaf, t.h AS subroot, u.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = u.h AS verified
+FROM p{len(steps)} p JOIN t{levels} t ON t.g = p.g, u{top_levels} u
+"""
+
+
+ORACLE["op13_merkle_manifest"] = _merkle_sql()
