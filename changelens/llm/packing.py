@@ -10,7 +10,8 @@ sequences.
 
 from __future__ import annotations
 
-import struct
+import gc
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -60,11 +61,22 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+#: Letters that lower-case and decompose alike everywhere, and one mark after them.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([.,]?)")
+
+
+def _cut(ids: np.ndarray, ends: np.ndarray, skip: int) -> list[bytes]:
+    """The bytes of ``ids`` up to each of ``ends``, ``skip`` ids left out after each."""
+    raw, stops = ids.tobytes(), (4 * ends).tolist()
+    starts = [0, *(4 * (ends + skip)).tolist()]
+    return [raw[i:j] for i, j in zip(starts, stops)]
+
+
 class Encoder:
     """Token ids of whole texts; a bounded cache of two generations holds the ids of single words.
 
-    Valid for tokenizers that never join over a space, tab or line end, as
-    those that drop white space.  Words used since the last change of
+    Valid for tokenizers that drop white space, lower the case and part letters and digits from other characters, as
+    the one used here: they never join over a space, tab or line end.  Words used since the last change of
     generations outlive it.
     """
 
@@ -72,25 +84,54 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
+        from tokenizers.pre_tokenizers import Sequence as Steps
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model without its normalizer and word pattern, for words that need neither
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = Steps([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
+        self.stops = {"": b""} | {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,"}
+        (self.mark,) = self.tokenizer.encode("\0", add_special_tokens=False).ids
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words of letters, as bytes: one call over all of them, cut after each id that ends a word."""
+        ids = np.array(self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        return _cut(ids, np.flatnonzero(self.ends[ids]) + 1, 0)
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of any words without blanks, as bytes: one call over all of them, cut at a control character between them."""
+        if any("\0" in w for w in words):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode_batch_fast([" \0 ".join([*words, ""])], add_special_tokens=False)[0].ids, "<u4")
+        return _cut(ids, np.flatnonzero(ids == self.mark), 1)
+
     def learn(self, texts: list[list[str]]) -> None:
-        """Have the ids of every word of ``texts`` in the cache; words it lacks are encoded in one call."""
+        """Have the ids of every word of ``texts`` in the cache; words it lacks are encoded together.
+
+        A word of Latin letters has the ids of its lower case, and then those of a full stop or comma at its end.
+        """
         if len(self.young) > CACHED_WORDS // 2:
             self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for w in set().union(*texts):
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    new.append(w)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else ()):
-            young[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        young, old = self.young, self.old
+        new = set().union(*texts).difference(young)
+        young.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in old]
+        found = list(zip(new, map(PLAIN.fullmatch, new)))
+        plain = [(w, m[1].lower(), m[2]) for w, m in found if m]
+        stems = [v for v in dict.fromkeys(stem for _, stem, _ in plain) if v not in young]
+        if stems:
+            young.update(zip(stems, self._encode_plain(stems)))
+        young.update((w, young[stem] + self.stops[end]) for w, stem, end in plain)
+        others = [w for w, m in found if not m]
+        if others:
+            young.update(zip(others, self._encode(others)))
 
     def batch_ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the words of all of them are looked up together."""
@@ -118,26 +159,39 @@ def _place(ids: np.ndarray, table) -> np.ndarray:
     return np.minimum((1 / (1 + np.exp(-1.702 * y)) * 2 ** BITS).astype(np.int64), 2 ** BITS - 1)
 
 
+def id_width(tokenizer: str, end: int = END) -> int:
+    """Bytes of a stored id: two for up to 65,536 kinds, else four."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1) <= 65536 else 4
+
+
 def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """(row, doc_id, __h, key, n, ids) per row of ``docs``, written: place on the curve, number of ids with the end
-    id, and the ids as zlib-packed little-endian numbers of
+    id, and the ids as zstd-packed little-endian numbers of
     two bytes, or four for more than 65,536 kinds.  ``row`` numbers the rows in no order."""
+    width = id_width(tokenizer, end)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(tokenizer)
         table = _vector_table(max(enc.tokenizer.get_vocab_size(), end + 1))
         kind = "<u2" if len(table[0]) <= 65536 else "<u4"
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                n, places, packed = [], [], []
-                for ids in enc.batch_ids(b.column("__t").to_pylist()):
-                    ids = np.append(ids, np.uint32(end))
-                    n.append(len(ids))
-                    places.append(_place(ids, table))
-                    packed.append(zlib.compress(ids.astype(kind).tobytes(), 1))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("__h"), pa.array(hilbert_key(np.array(places)), pa.int64()), pa.array(n, pa.int64()),
-                     pa.array(packed, pa.binary())], names=["doc_id", "__h", "key", "n", "ids"])
+        gc.disable()  # nothing here makes cycles, and each collection would walk the whole cache
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    b = batch.slice(at, 256)
+                    n, places, packed = [], [], []
+                    for ids in enc.batch_ids(b.column("__t").to_pylist()):
+                        ids = np.append(ids, np.uint32(end))
+                        n.append(len(ids))
+                        places.append(_place(ids, table))
+                        packed.append(pa.compress(ids.astype(kind).tobytes(), "zstd", asbytes=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("doc_id"), b.column("__h"), pa.array(hilbert_key(np.array(places)), pa.int64()), pa.array(n, pa.int64()),
+                         pa.array(packed, pa.binary())], names=["doc_id", "__h", "key", "n", "ids"])
+        finally:
+            gc.enable()
 
     ship(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
@@ -163,13 +217,14 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
     sizes = [1 << b for b in range(length.bit_length() - 1, -1, -1) if rest >> b & 1]
     tail = full * length + np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
+    width = id_width(tokenizer, end)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for b in batches:
             out: list[list] = [[] for _ in names]
             for doc_id, at, n, packed in zip(*(b.column(c).to_pylist() for c in ("doc_id", "at", "n", "ids"))):
-                raw = zlib.decompress(packed)
-                ids, start = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4").tobytes(), 0
+                ids, start = np.frombuffer(pa.decompress(packed, width * n, "zstd"), f"<u{width}").astype("<u4").tobytes(), 0
                 while start < n:
                     pos = at + start
                     if pos < full * length:
