@@ -61,8 +61,18 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-#: Letters that lower-case and decompose alike everywhere, and one mark after them.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([.,]?)")
+#: Letters that lower-case and decompose alike everywhere, and signs after them.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-/:-@\[-`{-~]*)")
+
+CONTROL = re.compile("[\x1c-\x1f]")
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer file, made once per worker, so its cache serves all tasks there."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _cut(ids: np.ndarray, ends: np.ndarray, skip: int) -> list[bytes]:
@@ -90,19 +100,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         # the same model without its normalizer and word pattern, for words that need neither
-        self.letters = Tokenizer.from_file(path)
-        self.letters.normalizer = normalizers.Sequence([])
+        self.letters, self.ascii = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = self.ascii.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = Steps([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ascii.pre_tokenizer = CharDelimiterSplit(" ")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
-        self.stops = {"": b""} | {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,"}
+        self.signs = {"": b""}
         (self.mark,) = self.tokenizer.encode("\0", add_special_tokens=False).ids
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode_plain(self, words: list[str]) -> list[bytes]:
         """Ids of lower-case words of letters, as bytes: one call over all of them, cut after each id that ends a word."""
-        ids = np.array(self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        joined = " ".join(words)
+        model = self.ascii if joined.isascii() else self.letters
+        ids = np.array(model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         return _cut(ids, np.flatnonzero(self.ends[ids]) + 1, 0)
 
     def _encode(self, words: list[str]) -> list[bytes]:
@@ -112,32 +125,43 @@ class Encoder:
         ids = np.array(self.tokenizer.encode_batch_fast([" \0 ".join([*words, ""])], add_special_tokens=False)[0].ids, "<u4")
         return _cut(ids, np.flatnonzero(ids == self.mark), 1)
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Have the ids of every word of ``texts`` in the cache; words it lacks are encoded together.
+    def learn(self, words: set[str]) -> None:
+        """Put the ids of ``words``, which the young generation lacks, into it; words new to both are encoded together.
 
-        A word of Latin letters has the ids of its lower case, and then those of a full stop or comma at its end.
+        A word of Latin letters has the ids of its lower case, and then those of the signs at its end.
         """
-        if len(self.young) > CACHED_WORDS // 2:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = set().union(*texts).difference(young)
-        young.update((w, old[w]) for w in new if w in old)
-        new = [w for w in new if w not in old]
+        young, old, signs = self.young, self.old, self.signs
+        if old:
+            young.update((w, old[w]) for w in words if w in old)
+            words = words.difference(young)
+        new = list(words)
         found = list(zip(new, map(PLAIN.fullmatch, new)))
         plain = [(w, m[1].lower(), m[2]) for w, m in found if m]
-        stems = [v for v in dict.fromkeys(stem for _, stem, _ in plain) if v not in young]
-        if stems:
-            young.update(zip(stems, self._encode_plain(stems)))
-        young.update((w, young[stem] + self.stops[end]) for w, stem, end in plain)
+        stems = set(stem for _, stem, _ in plain).difference(young)
+        for some in ([v for v in stems if v.isascii()], [v for v in stems if not v.isascii()]):
+            if some:
+                young.update(zip(some, self._encode_plain(some)))
+        for sign in set(sign for _, _, sign in plain).difference(signs):
+            signs[sign] = np.array(self.tokenizer.encode(sign, add_special_tokens=False).ids, "<u4").tobytes()
+        young.update((w, young[stem] + signs[sign]) for w, stem, sign in plain)
         others = [w for w, m in found if not m]
         if others:
             young.update(zip(others, self._encode(others)))
 
-    def batch_ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; the words of all of them are looked up together."""
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self.learn(words)
-        return [np.frombuffer(b"".join(map(self.young.__getitem__, w)), "<u4") for w in words]
+    def batch_ids(self, texts: list[str], end: int) -> list[np.ndarray]:
+        """Ids of each text, and then ``end``; the words that the cache lacks are looked up for all texts together."""
+        if len(self.young) > CACHED_WORDS // 2:
+            self.old, self.young = self.young, {}
+        # split() also cuts at four control characters, which the tokenizer keeps
+        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if CONTROL.search(t) else t.split() for t in texts]
+        found = [list(map(self.young.get, w)) for w in words]
+        lacks = [i for i, ids in enumerate(found) if None in ids]
+        if lacks:
+            self.learn({w for i in lacks for w, ids in zip(words[i], found[i]) if ids is None})
+            for i in lacks:
+                found[i] = [self.young[w] if ids is None else ids for w, ids in zip(words[i], found[i])]
+        last = np.array([end], "<u4").tobytes()
+        return [np.frombuffer(b"".join([*ids, last]), "<u4") for ids in found]
 
 
 def _vector_table(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +197,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     width = id_width(tokenizer, end)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         table = _vector_table(max(enc.tokenizer.get_vocab_size(), end + 1))
         kind = "<u2" if len(table[0]) <= 65536 else "<u4"
         gc.disable()  # nothing here makes cycles, and each collection would walk the whole cache
@@ -182,8 +206,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
                 for at in range(0, batch.num_rows, 256):
                     b = batch.slice(at, 256)
                     n, places, packed = [], [], []
-                    for ids in enc.batch_ids(b.column("__t").to_pylist()):
-                        ids = np.append(ids, np.uint32(end))
+                    for ids in enc.batch_ids(b.column("__t").to_pylist(), end):
                         n.append(len(ids))
                         places.append(_place(ids, table))
                         packed.append(pa.compress(ids.astype(kind).tobytes(), "zstd", asbytes=True))

@@ -156,9 +156,9 @@ def test_word_cache_of_two_generations_keeps_ids(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_WORDS", 40)
     enc = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(4)
-    texts = [" ".join(f"word{rng.randrange(300)}" for _ in range(rng.randrange(60))) + rng.choice(["", "\n", "  \tend", " Word7. WORD8, x.. a,b. É. É, it's. ...", " 12. \0 a\0b <|endoftext|>. <|ENDOFTEXT|>", ". , 7, ΣΑΣ. straße,"]) for _ in range(80)]
+    texts = [" ".join(f"word{rng.randrange(300)}" for _ in range(rng.randrange(60))) + rng.choice(["", "\n", "  \tend", " Word7. WORD8, x.. a,b. É. É, it's. ...", " 12. \0 a\0b <|endoftext|>. <|ENDOFTEXT|>", ". , 7, ΣΑΣ. straße,", "ab$$$ c.,; d's e'' f<| g|> h'S. i're", "a\x1cb \x1d. c", "d\xa0e\u2003f\x85g\x0bh\u2028i\u3000."]) for _ in range(80)]
     for at in range(0, len(texts), 7):
         enc.old = Untouchable(enc.old)
-        for text, ids in zip(texts[at:at + 7], enc.batch_ids(texts[at:at + 7])):
-            assert ids.tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+        for text, ids in zip(texts[at:at + 7], enc.batch_ids(texts[at:at + 7], 9)):
+            assert ids.tolist() == [*enc.tokenizer.encode(text, add_special_tokens=False).ids, 9]
     assert enc.old
