@@ -12,10 +12,12 @@ from pyspark.sql import types as T
 from ..functions.text import contains_any, normalize_message
 from ..operators import codemetrics as G
 from ..session import scratch_path
+from ..sources import buckets as B
 from ..sources import csv_io as CSV
 from ..sources import resume as RS
 from ..sources.union import multi_source_union
 from ..streaming.incremental import incremental_ingest
+from ..streaming.stateful import stateful_ingest
 from . import views as V
 from .q_metrics import _G4_SQL
 from .registry import register
@@ -123,6 +125,18 @@ def resume_append_q(t):
     return t.spark.read.parquet(out)
 
 
+@register("resume_append_pruned", views=("v_file",), sql="SELECT hash, path, file_pos FROM v_file")
+def resume_append_pruned_q(t):
+    """S8 by buckets: a first run wrote early commits; the rerun reads only the buckets that its keys may be in, and they are compacted."""
+    out = scratch_path(t.spark, "resume-buckets")
+    files = V.v_file(t).join(V.v_commit(t).select("hash", "committed_at"), "hash")
+    first = files.where(F.col("committed_at") < F.lit("1998-01-01").cast("timestamp_ntz")).select("hash", "path", "file_pos")
+    B.pruned_append(first, out, ["hash", "path"], n_buckets=16)
+    B.pruned_append(files.select("hash", "path", "file_pos"), out, ["hash", "path"], n_buckets=16)
+    B.compact_buckets(t.spark, out, most_files=1)
+    return B.read_buckets(t.spark, out)
+
+
 @register("batch_checkpoint", views=("v_file",), sql="SELECT hash, path, file_pos FROM v_file")
 def batch_checkpoint_q(t):
     """Results written in hash batches; a rerun adds the rows that arrived late."""
@@ -174,3 +188,28 @@ def incremental_ingest_q(t):
     t.lineitem.select(*schema.names).write.parquet(source)
     incremental_ingest(spark, source, schema, out, ck, ["l_orderkey", "l_linenumber", "l_partkey"])
     return spark.read.parquet(out)
+
+
+@register("stateful_ingest", sql="""
+WITH first AS (SELECT * FROM events WHERE event_id % 3 <> 0 AND event_id % 10 < 7),
+mark AS (SELECT max(ts) - INTERVAL 10 DAY AS late FROM first)
+SELECT event_id, user_id, CASE WHEN event_id % 3 <> 0 AND event_id % 10 < 7 THEN 'kept' WHEN ts < late THEN 'late' ELSE 'kept' END AS side
+FROM events, mark
+UNION ALL
+SELECT event_id, user_id, 'late' FROM first, mark WHERE ts < late""")
+def stateful_ingest_q(t):
+    """S12 with state: a first delivery, then all events; repeats are dropped, events over ten days behind the first delivery are set aside."""
+    spark = t.spark
+    events = t.events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    source, out, late, ck = (scratch_path(spark, f"stateful-{x}") for x in ("in", "out", "late", "ckpt"))
+
+    def run():
+        stateful_ingest(spark, source, events.schema, out, late, ck, ["event_id"], "ts", "10 days")
+
+    events.where("event_id % 3 <> 0 AND event_id % 10 < 7").write.mode("append").parquet(source)
+    run()
+    events.write.mode("append").parquet(source)
+    run()
+    run()  # nothing new
+    kept, aside = spark.read.parquet(out), spark.read.parquet(late)
+    return kept.select("event_id", "user_id", F.lit("kept").alias("side")).unionByName(aside.select("event_id", "user_id", F.lit("late").alias("side")))
