@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ..operators import classify as K
+from ..operators import codeblocks as CB
 from ..operators import codemetrics as G
+from ..operators import moments as MO
 from ..operators import rows as R
 from ..operators import stats as ST
 from ..session import scratch_path
-from ..sources.csv_io import table_sink
 from . import views as V
 from .registry import register
 from .sqlfrag import strip
@@ -142,10 +145,31 @@ SELECT hash, CASE WHEN rk <= 120 THEN mi_change END AS mi_change, CASE WHEN rk <
 FROM (SELECT *, CASE WHEN error IS NULL THEN row_number() OVER (PARTITION BY error IS NULL ORDER BY hash) END AS rk
       FROM ({_G4_SQL}) g) s""")
 def first_n_successful_q(t):
-    """L3: metrics kept on the first 120 successful rows in key order; all rows returned."""
-    path = table_sink(_g4(t), scratch_path(t.spark, "metrics"))  # measured once, read for the choice and for the result
-    r = R.first_n_successful(t.spark.read.parquet(path), 120, ["hash"], "error", ["mi_change", "loc_change"], keys=["hash"])
-    return r.select("hash", "mi_change", "loc_change", "processed")
+    """L3: metrics of the first 120 successful rows in key order, measured in batches until there are enough; all rows returned."""
+    r = R.first_n_measured(V.v_code(t), G.code_change_metrics, 120, ["hash"], "error", ["mi_change", "loc_change"])
+    return r.select("hash", F.round("mi_change", 6).alias("mi_change"), "loc_change", "processed")
+
+
+@register("code_blocks", sql="""
+SELECT l_orderkey AS hash, 'C' || l_orderkey AS name, 'class' AS kind, 0 AS depth, 1 AS n_lines, 1 AS complexity FROM lineitem GROUP BY l_orderkey
+UNION ALL
+SELECT l_orderkey, 'm' || l_linenumber, 'method', 1, CASE l_linenumber % 3 WHEN 1 THEN 2 ELSE 4 END, CASE l_linenumber % 3 WHEN 0 THEN 4 ELSE 1 END FROM lineitem
+UNION ALL
+SELECT l_orderkey, 'inner' || l_linenumber, 'function', 2, 3, 2 FROM lineitem WHERE l_linenumber % 3 = 1""")
+def code_blocks_q(t):
+    """G2 by block: every class, method and inner function of one source text an order."""
+    return CB.code_blocks(V.v_nested(t), ["hash"], "source").select("hash", "name", "kind", "depth", "n_lines", "complexity")
+
+
+@register("block_complexity", sql="""
+SELECT l_orderkey AS hash, 1 + count(*) + count(*) FILTER (l_linenumber % 3 = 1) AS n_blocks,
+       round((1 + sum(CASE l_linenumber % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END)) / (1 + count(*) + count(*) FILTER (l_linenumber % 3 = 1)), 6) AS mean_complexity,
+       CASE WHEN bool_or(l_linenumber % 3 = 0) THEN 4 WHEN bool_or(l_linenumber % 3 = 1) THEN 2 ELSE 1 END AS most_complexity
+FROM lineitem GROUP BY l_orderkey""")
+def block_complexity_q(t):
+    """Mean complexity over the blocks of every source text, nested ones apart."""
+    b = CB.block_complexity(V.v_nested(t), ["hash"], "source")
+    return b.withColumn("mean_complexity", F.round("mean_complexity", 6))
 
 
 # ---------------------------------------------------------------- descriptive statistics
@@ -235,6 +259,31 @@ def multi_metric_summary_q(t):
     return ST.summary(t.lineitem, _SUM_COLS)
 
 
+def _recorded(t):
+    """Moments of five batches of line items, recorded one by one and merged."""
+    path = scratch_path(t.spark, "moments")
+    for i in range(5):
+        MO.record_batch(t.lineitem.where(F.col("l_orderkey") % 5 == i), path, str(i), _SUM_COLS, ["l_returnflag"])
+    return MO.recorded(t.spark, path, ["l_returnflag"])
+
+
+@register("merged_summary", sql=" UNION ALL ".join(
+    f"SELECT l_returnflag, '{m}' AS name, count({m}) AS n, round(avg({m}), 4) AS mean, round(stddev_samp({m}), 4) AS std, "
+    f"round(min({m}), 4) AS low, round(max({m}), 4) AS high FROM lineitem GROUP BY l_returnflag" for m in _SUM_COLS))
+def merged_summary_q(t):
+    """A summary put together from the moments of batches, without their rows."""
+    s = MO.summary(_recorded(t), ["l_returnflag"])
+    return s.select("l_returnflag", "name", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "low", "high")])
+
+
+@register("merged_correlations", sql=" UNION ALL ".join(
+    f"SELECT l_returnflag, '{a}' AS a, '{b}' AS b, count(*) AS n, round(corr({a}, {b}), 6) AS corr FROM lineitem GROUP BY l_returnflag"
+    for a, b in combinations(_SUM_COLS, 2)))
+def merged_correlations_q(t):
+    """Correlations put together from the co-moments of batches."""
+    return MO.correlations(_recorded(t), ["l_returnflag"]).withColumn("corr", F.round("corr", 6))
+
+
 # ---------------------------------------------------------------- reshape
 
 _PRIOS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]

@@ -10,7 +10,9 @@ from ..functions.vectors import cls_pool, cosine, mean_pool, norm
 from ..operators import classify as K
 from ..operators import models as MD
 from ..operators import similarity as SIM
+from ..operators import vector_store as VS
 from ..operators.changes import baseline_cross
+from ..session import scratch_path
 from . import sqlfrag as S
 from . import views as V
 from .registry import register
@@ -53,6 +55,33 @@ def message_scores_text_q(t):
                     F.round("model_score", 6).alias("model_score"))
 
 
+@register("scores_from_store", views=("v_change",), sql=f"""
+SELECT hash, seq, round({sql_cos(sql_embed('before'), sql_embed('after'))}, 6) AS dev_score,
+       round({sql_cos(sql_embed('role'), sql_embed('after'))}, 6) AS model_score FROM v_change""")
+def scores_from_store_q(t):
+    """M4 from a vector store: a first run embedded the early changes, the second only the texts it lacked; the scores read the store."""
+    changes = V.v_change(t)
+    cols, path = ["before", "after", "role"], scratch_path(t.spark, "vector-store")
+    VS.extend_store(changes.where("seq < 3"), cols, path, MD.embed_text, 16)
+    VS.extend_store(changes, cols, path, MD.embed_text, 16)
+    r = VS.scores_from_store(changes, ["hash", "seq"], {"dev_score": ("before", "after"), "model_score": ("role", "after")}, path)
+    return r.select("hash", "seq", F.round("dev_score", 6).alias("dev_score"), F.round("model_score", 6).alias("model_score"))
+
+
+@register("sparse_bag", sql=f"""
+SELECT doc_id, len(list_filter(v, lambda x: x > 0)) AS n_buckets, list_sum(v)::BIGINT AS n_tokens,
+       list_sum(list_transform(v, lambda x, i: x * (i - 1)))::BIGINT AS by_bucket
+FROM (SELECT doc_id, {sql_embed('text')} AS v FROM documents) s""")
+def sparse_bag_q(t):
+    """M2 as sparse vectors, made in one pass over the tokens."""
+    b = t.documents.select("doc_id", VS.sparse_bag("text").alias("b"))
+
+    def total(f):
+        return F.aggregate("b", F.lit(0).cast("bigint"), lambda s, x: s + f(x))
+
+    return b.select("doc_id", F.size("b").alias("n_buckets"), total(lambda x: x["n"]).alias("n_tokens"), total(lambda x: x["n"] * x["bucket"]).alias("by_bucket"))
+
+
 @register("embed_text", sql=f"""
 SELECT doc_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, len(list_filter(v, lambda x: x > 0)) AS n_buckets
 FROM (SELECT doc_id, {sql_embed('text')} AS v FROM documents) s""")

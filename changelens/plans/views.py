@@ -131,6 +131,15 @@ def v_code(t: Tables) -> DataFrame:
                     F.concat_ws(NL, head, after, tail).alias("after"))
 
 
+def v_edit(t: Tables) -> DataFrame:
+    """One row per document as an edited file: lines turned, reversed, or dropped and repeated."""
+    ls, k = F.split("text", NL), F.col("doc_id")
+    n = F.size(ls)
+    after = (F.when(k % 3 == 0, F.concat(F.slice(ls, 3, n), F.slice(ls, 1, 2), F.array(F.concat(F.lit("new "), k.cast("string")))))
+              .when(k % 3 == 1, F.reverse(ls)).otherwise(F.concat(F.filter(ls, lambda x, i: i % 5 != 4), F.slice(ls, 1, 3))))
+    return t.documents.where("text IS NOT NULL").select("doc_id", F.col("text").alias("before"), F.array_join(after, NL).alias("after"))
+
+
 def v_branch(t: Tables) -> DataFrame:
     """One row per commit with its first parent: runs of commits, side branches off the third commit before, a few beginnings."""
     k = F.col("o_orderkey")
@@ -144,6 +153,18 @@ def v_version(t: Tables) -> DataFrame:
     return g.select("hash", "path", F.when(F.col("n") % 6 != 5, F.concat(F.lit("part "), F.col("p").cast("string"), F.lit(NL + "line "), F.col("n").cast("string"))).alias("content"))
 
 
+def v_nested(t: Tables) -> DataFrame:
+    """One source text per order: a class with one method per line item, some with a function inside or a head over two lines."""
+    n = F.col("l_linenumber")
+    name, m = n.cast("string"), n % 3
+    method = (F.when(m == 0, F.concat(F.lit("    def m"), name, F.lit("(self, a):\n        if a and self:\n            return a\n        while a: a -= 1")))
+               .when(m == 1, F.concat(F.lit("    def m"), name, F.lit("(self):\n\n        def inner"), name,
+                                      F.lit("(b):\n            for i in b:\n                pass\n        return b")))
+               .otherwise(F.concat(F.lit("    def m"), name, F.lit("(self, s=(1,\n  2)):\n        x = 'if or for'  # while\n        return x"))))
+    g = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", method.alias("m"))))["m"].alias("ms"))
+    return g.select(F.col("l_orderkey").alias("hash"), F.concat(F.lit("class C"), F.col("l_orderkey").cast("string"), F.lit(":\n"), F.array_join("ms", "\n\n")).alias("source"))
+
+
 # ---------------------------------------------------------------- SQL side (oracle)
 
 SQL_LINES = ("(CASE WHEN {x} = '' THEN []::VARCHAR[] ELSE string_split(CASE WHEN right({x}, 1) = chr(10) "
@@ -193,6 +214,10 @@ SELECT vec_id // 4 AS grp,
        first(embedding) FILTER (WHERE vec_id % 4 = 2) AS model_vec,
        first(embedding) FILTER (WHERE vec_id % 4 = 3) AS rect_vec
 FROM embeddings GROUP BY vec_id // 4""",
+    "v_edit": """
+SELECT doc_id, text AS before, array_to_string(CASE doc_id % 3 WHEN 0 THEN ls[3:] || ls[1:2] || ['new ' || doc_id] WHEN 1 THEN list_reverse(ls)
+       ELSE [x FOR x, i IN ls IF i % 5 <> 0] || ls[1:3] END, chr(10)) AS after
+FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)""",
     "v_branch": """
 SELECT o_orderkey AS hash, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN o_orderkey - 3 ELSE o_orderkey - 1 END AS parent
 FROM orders""",
