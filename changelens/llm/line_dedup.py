@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import ordered_totals, word_array, written
+from .base import join_per_key, ordered_totals, word_array, written
 
 MIN_WORDS = 50
 KEY = ["__d", "__h"]
@@ -50,7 +50,7 @@ def rank_levels(repeated: DataFrame, deepest: int) -> DataFrame:
         pairs = written(level.join(after, [*KEY, "pos"]), f"lines-pairs{q}")
         groups = pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).filter("n > 1")
         ranked = ordered_totals(groups, ["r", "r2"], {"n": "rank"}, f"lines-groups{q}")
-        level = written(pairs.join(ranked, ["r", "r2"]).select(*KEY, "pos", F.col("rank").alias("r")), f"lines-level{q + 1}")
+        level = written(join_per_key(pairs, ranked, ["r", "r2"], "n").select(*KEY, "pos", F.col("rank").alias("r")), f"lines-level{q + 1}")
         q += 1
         if level.isEmpty():
             break
@@ -86,8 +86,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(__d, __h, runs): for each document with later copies, the line ranges [start, stop) to delete, in order."""
     lines = written(line_table(docs), "lines")
     ids = lines.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
-    ids = ordered_totals(ids, ["id"], {"n": "r"}, "lines-ids").select("id", "r")
-    repeated = written(lines.join(ids, "id").select(*KEY, "pos", "r", "nw").distinct(), "lines-level0")
+    ids = ordered_totals(ids, ["id"], {"n": "r"}, "lines-ids").select("id", "n", "r")
+    repeated = written(join_per_key(lines, ids, "id", "n").select(*KEY, "pos", "r", "nw").distinct(), "lines-level0")
     windows = written(_windows(repeated.drop("r"), min_words), "lines-windows")
     deepest = windows.agg(F.max("n")).first()[0] or 1
     levels = rank_levels(repeated.drop("nw"), deepest)
@@ -97,8 +97,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     second = levels.select(*KEY, F.col("pos").alias("b"), "q", F.col("r").alias("rb"))
     found = written(asked.join(first, [*KEY, "a", "q"]).join(second, [*KEY, "b", "q"])
                     .select(*KEY, "a", "n", "ra", "rb"), "lines-intervals")
-    least = found.groupBy("n", "ra", "rb").agg(F.min(F.struct(*KEY, "a")).alias("first"))
-    later = found.join(least, ["n", "ra", "rb"]).filter(F.struct(*KEY, "a") != F.col("first"))
+    least = found.groupBy("n", "ra", "rb").agg(F.min(F.struct(*KEY, "a")).alias("first"), F.count("*").alias("copies"))
+    later = join_per_key(found, least, ["n", "ra", "rb"], "copies").filter(F.struct(*KEY, "a") != F.col("first"))
     doc = Window.partitionBy(*KEY).orderBy("a", "n")
     reach = F.max(F.col("a") + F.col("n")).over(doc.rowsBetween(Window.unboundedPreceding, -1))
     cut = later.withColumn("new", F.coalesce(F.col("a") > reach, F.lit(True)).cast("int"))
