@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import NEAR, SHINGLE_WORDS, components, ship, shingle_hashes, written
+from .base import NEAR, SHINGLE_WORDS, components, join_per_key, ship, shingle_hashes, written
 
 TREES = 32
 LONGEST = 8
@@ -111,6 +111,11 @@ def _in_blocks(rows: DataFrame, keys: list[str], size: str) -> DataFrame:
             .drop("__blocks", "__other", size))
 
 
+def _tasks(df: DataFrame) -> int:
+    """Number of tasks for comparisons: their work grows faster than their bytes, so they aren't joined by bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Groups of rows sorted by ``keys``, across batch borders."""
     held: list[pd.DataFrame] = []
@@ -154,7 +159,7 @@ def candidate_edges(entries: DataFrame, threshold: float) -> DataFrame:
     crowded = nodes.groupBy("tree", "node").agg(F.count("*").alias("size")).filter("size > 1")
     members = nodes.join(crowded, ["tree", "node"]).join(entries.select("digest", "sketch"), "digest")
     keys = ["tree", "node", "bi", "bj"]
-    dealt = _in_blocks(members, ["tree", "node"], "size").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = _in_blocks(members, ["tree", "node"], "size").repartition(_tasks(entries), *keys).sortWithinPartitions(*keys)
     least = threshold - SKETCH_MARGIN
 
     def compare(batches):
@@ -201,24 +206,24 @@ def _links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def verified(docs: DataFrame, members: DataFrame, threshold: float, words: int) -> DataFrame:
-    """(digest, links, peer): links to other entries counted per pair of blocks, and a peer in the same component there.
+    """(digest, links, peer): links to the texts of other entries counted per pair of blocks, and a peer in the same component there.
 
-    ``members``: (digest, root, size, __d, __h).  Each entry's text is read once; groups larger than BLOCK are
+    ``members``: (digest, root, size, n_texts, __d, __h).  Each entry's text is read once; groups larger than BLOCK are
     compared block against block.
     """
     def shingled(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in ("digest", "root", "size")],
+                [*[b.column(c) for c in ("digest", "root", "size", "n_texts")],
                  pa.array([shingle_hashes(t.as_py(), words).tobytes() for t in b.column("__t")], pa.binary())],
-                names=["digest", "root", "size", "set"])
+                names=["digest", "root", "size", "n_texts", "set"])
 
     texts = (docs.select(*row_key(), F.coalesce("text", F.lit("")).alias("__t"))
-             .join(members, ["__d", "__h"]).select("digest", "root", "size", "__t"))
-    sets = texts.mapInArrow(shingled, "digest string, root string, size long, set binary")
+             .join(members, ["__d", "__h"]).select("digest", "root", "size", "n_texts", "__t"))
+    sets = texts.mapInArrow(shingled, "digest string, root string, size long, n_texts long, set binary")
     keys = ["root", "bi", "bj"]
-    dealt = (_in_blocks(sets, ["root"], "size").repartition(*keys).sortWithinPartitions(*keys, "digest")
-             .select(*keys, "own", "digest", "set"))
+    dealt = (_in_blocks(sets, ["root"], "size").repartition(_tasks(docs), *keys).sortWithinPartitions(*keys, "digest")
+             .select(*keys, "own", "digest", "set", "n_texts"))
 
     def verify(batches):
         for g in _grouped(batches, keys):
@@ -232,7 +237,7 @@ def verified(docs: DataFrame, members: DataFrame, threshold: float, words: int)
             some = np.nonzero(linked.any(axis=1))[0]
             if len(some):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[some], pa.string()), pa.array(linked.sum(axis=1)[some], pa.int64()),
+                    [pa.array(names[some], pa.string()), pa.array((linked @ g["n_texts"].to_numpy())[some], pa.int64()),
                      pa.array(names[_forest(linked)][some], pa.string())], names=["digest", "links", "peer"])
 
     return dealt.mapInArrow(verify, "digest string, links long, peer string")
@@ -242,31 +247,32 @@ def near_duplicates(docs: DataFrame, threshold: float = NEAR, words: int = SHING
     """(doc_id, __d, __h, root, class_id, n_links, n_copies, class_size), one row for every row of ``docs``.
 
     class_id: the least doc_id of the row's class, a connected component of
-    texts linked at ``threshold`` or more; n_links: how many other shingle sets
-    are linked to the row's; n_copies: rows with the row's own shingle set.
+    texts linked at ``threshold`` or more; n_links: how many other texts are
+    linked to the row's, those with the same shingle set among them; n_copies: rows with the row's own shingle set.
     A class without any doc_id has a null class_id; root always names it.
     """
     ship(docs.sparkSession)
     signed = written(signatures(docs.select("doc_id", "text"), threshold, words), "near-signatures")
     known = F.when(F.col("__d") != -(2 ** 63), F.col("__d"))
-    one = written(signed.groupBy("digest").agg(F.min(F.struct("__d", "__h")).alias("k"), F.min(known).alias("first_id"), F.count("*").alias("n_copies"))
-                  .select("digest", "k.__d", "k.__h", "first_id", "n_copies"), "near-entries")
+    one = written(signed.groupBy("digest").agg(F.min(F.struct("__d", "__h")).alias("k"), F.min(known).alias("first_id"), F.count("*").alias("n_copies"),
+                                                F.count_distinct("__h").alias("n_texts"))
+                  .select("digest", "k.__d", "k.__h", "first_id", "n_copies", "n_texts"), "near-entries")
     entries = signed.select("digest", "n", "nodes", "sketch", "__d", "__h").join(
         one.select("__d", "__h", "digest"), ["__d", "__h", "digest"], "left_semi").dropDuplicates(["digest"])
     entries = written(entries, "near-distinct")
     found = components(candidate_edges(entries, threshold), "u", "v", "near-candidates")
     sizes = found.groupBy("root").agg(F.count("*").alias("size"))
-    members = written(found.join(sizes, "root").withColumnRenamed("node", "digest")
-                      .join(one.select("digest", "__d", "__h"), "digest"), "near-members")
+    members = written(join_per_key(found, sizes, "root", "size").withColumnRenamed("node", "digest")
+                      .join(one.select("digest", "n_texts", "__d", "__h"), "digest"), "near-members")
     linked = written(verified(docs, members, threshold, words), "near-links")
     classes = components(linked.filter("digest != peer").select("digest", "peer"), "digest", "peer", "near-classes")
     links = linked.groupBy("digest").agg(F.sum("links").alias("n_links"))
     entry = (one.join(classes.withColumnRenamed("node", "digest"), "digest", "left").join(links, "digest", "left")
              .withColumn("root", F.coalesce("root", "digest")))
-    per_class = entry.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n_copies").alias("class_size"))
-    entry = written(entry.join(per_class, "root").select(
-        "digest", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "class_size"), "near-result")
-    return (signed.select(known.alias("doc_id"), "__d", "__h", "digest").join(entry, "digest")
+    entry = written(entry.select("digest", "root", "first_id", "n_copies", (F.coalesce("n_links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links")), "near-linked")
+    per_class = entry.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n_copies").alias("class_size"), F.count("*").alias("__n"))
+    entry = join_per_key(entry, per_class, "root", "__n").select("digest", "root", "class_id", "n_links", "n_copies", "class_size")
+    return (join_per_key(signed.select(known.alias("doc_id"), "__d", "__h", "digest"), entry, "digest", "n_copies")
             .drop("digest"))
 
 

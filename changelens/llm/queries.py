@@ -69,12 +69,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op5_jaccard_join"] = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
        FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
-named AS (SELECT w.doc_id, k.n, coalesce(k.name, '') AS name FROM w LEFT JOIN
+named AS (SELECT w.doc_id, w.text, k.n, coalesce(k.name, '') AS name FROM w LEFT JOIN
           (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS name FROM sh GROUP BY doc_id) k USING (doc_id)),
-entry AS (SELECT name, min(doc_id) AS rep, max(n) AS n, count(*) AS n_copies FROM named GROUP BY name),
+entry AS (SELECT name, min(doc_id) AS rep, max(n) AS n, count(*) AS n_copies, count(DISTINCT text) AS n_texts FROM named GROUP BY name),
 es AS (SELECT e.rep, e.n, sh.s FROM entry e JOIN sh ON sh.doc_id = e.rep),
 pair AS (SELECT a.rep AS a, b.rep AS b FROM es a JOIN es b ON a.s = b.s AND a.rep < b.rep
          GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
@@ -82,8 +82,8 @@ link AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
 reach(a, b) AS (SELECT rep, rep FROM entry UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
 cls AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
 size AS (SELECT class_id, sum(n_copies)::BIGINT AS class_size FROM cls JOIN entry USING (rep) GROUP BY class_id),
-deg AS (SELECT a AS rep, count(*) AS n_links FROM link GROUP BY a)
-SELECT named.doc_id, cls.class_id, coalesce(deg.n_links, 0)::BIGINT AS n_links, entry.n_copies, size.class_size
+deg AS (SELECT a AS rep, sum(n_texts) AS n_links FROM link JOIN entry ON entry.rep = link.b GROUP BY a)
+SELECT named.doc_id, cls.class_id, (coalesce(deg.n_links, 0) + entry.n_texts - 1)::BIGINT AS n_links, entry.n_copies, size.class_size
 FROM named JOIN entry USING (name) JOIN cls USING (rep) JOIN size USING (class_id) LEFT JOIN deg USING (rep)
 """
 
