@@ -248,14 +248,15 @@ def near_duplicates(docs: DataFrame, threshold: float = NEAR, words: int = SHING
 
     class_id: the least doc_id of the row's class, a connected component of
     texts linked at ``threshold`` or more; n_links: how many other texts are
-    linked to the row's, those with the same shingle set among them; n_copies: rows with the row's own shingle set.
+    linked to the row's, those with the same shingle set among them
+    (texts without a word are one class and have no links); n_copies: rows with the row's own shingle set.
     A class without any doc_id has a null class_id; root always names it.
     """
     ship(docs.sparkSession)
     signed = written(signatures(docs.select("doc_id", "text"), threshold, words), "near-signatures")
     known = F.when(F.col("__d") != -(2 ** 63), F.col("__d"))
     one = written(signed.groupBy("digest").agg(F.min(F.struct("__d", "__h")).alias("k"), F.min(known).alias("first_id"), F.count("*").alias("n_copies"),
-                                                F.count_distinct("__h").alias("n_texts"))
+                                                F.greatest(F.count_distinct(F.when(F.col("n") > 0, F.col("__h"))), F.lit(1)).alias("n_texts"))
                   .select("digest", "k.__d", "k.__h", "first_id", "n_copies", "n_texts"), "near-entries")
     entries = signed.select("digest", "n", "nodes", "sketch", "__d", "__h").join(
         one.select("__d", "__h", "digest"), ["__d", "__h", "digest"], "left_semi").dropDuplicates(["digest"])

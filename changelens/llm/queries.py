@@ -74,7 +74,7 @@ sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
        FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
 named AS (SELECT w.doc_id, w.text, k.n, coalesce(k.name, '') AS name FROM w LEFT JOIN
           (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS name FROM sh GROUP BY doc_id) k USING (doc_id)),
-entry AS (SELECT name, min(doc_id) AS rep, max(n) AS n, count(*) AS n_copies, count(DISTINCT text) AS n_texts FROM named GROUP BY name),
+entry AS (SELECT name, min(doc_id) AS rep, max(n) AS n, count(*) AS n_copies, greatest(count(DISTINCT text) FILTER (n IS NOT NULL), 1) AS n_texts FROM named GROUP BY name),
 es AS (SELECT e.rep, e.n, sh.s FROM entry e JOIN sh ON sh.doc_id = e.rep),
 pair AS (SELECT a.rep AS a, b.rep AS b FROM es a JOIN es b ON a.s = b.s AND a.rep < b.rep
          GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
