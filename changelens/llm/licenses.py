@@ -97,28 +97,28 @@ TEMPLATES = {
                      "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("Released under CC0 1.0 into the public domain.", texts.CC0_1_0),
 }
-# What tells a licence from its siblings, as patterns over terms: all of the first must be in the matching unit (of a unit longer
-# than LONG_UNIT, a licence text, in its first HEAD terms) and the second must not; of the BSD licences in the whole file, since
-# their clauses are paragraphs of their own.
-LONG_UNIT, HEAD = 400, 40
+# What tells a licence from its siblings, as patterns over terms: all of the first must be in the matching unit, the second must
+# not be in it, and the third must not start before the first of the first ends (a licence text names its siblings after itself);
+# of the BSD licences in the whole file, since their clauses are paragraphs of their own.
 _V2, _V3 = r"(?:\b(?:version|v|license|l?gpl) |gplv?-?|gpl-v)2(?:\.0)?(?![\d.])", r"(?:\b(?:version|v|license|[al]?gpl) |gplv?-?|gpl-v)3(?:\.0)?(?![\d.])"
+_OTHER_GNU, _PLAIN_GPL = r"\b(?:lesser|library|affero|lgpl|agpl)", r"(?<!lesser )(?<!library )(?<!affero )general public license|\bgpl"
 MARKS = {
-    "MIT": ((r"\bmit\b|permission is hereby granted free of charge",), r"\bboost software"),
-    "Apache-2.0": ((r"\bapache", r"\b(?:version|v|license|apache) 2(?:\.0)?(?![\d.])|apache-2|v2(?:\.0)?\b"), None),
-    "GPL-2.0": ((r"general public license|\bgpl", _V2), r"\b(?:lesser|library|affero|lgpl|agpl)"),
-    "GPL-3.0": ((r"general public license|\bgpl", _V3), r"\b(?:lesser|library|affero|lgpl|agpl)"),
-    "LGPL-2.0": ((r"\b(?:library general|lgpl)", _V2), None),
-    "LGPL-2.1": ((r"\b(?:lesser|lgpl)", r"2\.1(?![\d.])"), None),
-    "LGPL-3.0": ((r"\b(?:lesser|lgpl)", _V3), None),
-    "AGPL-3.0": ((r"\b(?:affero|agpl)", _V3), None),
-    "BSD-2-Clause": ((r"\b2-clause|simplified bsd|redistributions in binary form must",), r"endorse or promote|neither the name|advertising materials|\b[34]-clause"),
-    "BSD-3-Clause": ((r"\b3-clause|endorse or promote|neither the name",), r"advertising materials|\b4-clause"),
-    "ISC": ((r"\bisc\b|provided that the above copyright notice",), None),
-    "MPL-2.0": ((r"\b(?:mozilla|mpl)", r"\b(?:v|version|license|mpl) 2(?:\.0)?(?![\d.])|mpl-2|v2"), None),
-    "CC-BY-4.0": ((r"\bcc[ -]by\b|\battribution\b", r"\b4\.0"), r"noncommercial|sharealike|noderiv|by-n|by-sa"),
-    "CC-BY-SA-4.0": ((r"by-sa|sharealike", r"\b4\.0"), r"noncommercial|by-nc"),
-    "CC-BY-NC-4.0": ((r"by-nc|noncommercial", r"\b4\.0"), r"sharealike|noderiv|nc-sa|nc-nd"),
-    "CC0-1.0": ((r"\bcc0|\bzero",), None),
+    "MIT": ((r"\bmit\b|permission is hereby granted free of charge",), r"\bboost software", None),
+    "Apache-2.0": ((r"\bapache", r"\b(?:version|v|license|apache) 2(?:\.0)?(?![\d.])|apache-2|v2(?:\.0)?\b"), None, None),
+    "GPL-2.0": ((r"general public license|\bgpl", _V2), None, _OTHER_GNU),
+    "GPL-3.0": ((r"general public license|\bgpl", _V3), None, _OTHER_GNU),
+    "LGPL-2.0": ((r"\b(?:library general|lgpl)", _V2), None, _PLAIN_GPL),
+    "LGPL-2.1": ((r"\b(?:lesser|lgpl)", r"2\.1(?![\d.])"), None, _PLAIN_GPL),
+    "LGPL-3.0": ((r"\b(?:lesser|lgpl)", _V3), None, _PLAIN_GPL),
+    "AGPL-3.0": ((r"\b(?:affero|agpl)", _V3), None, _PLAIN_GPL),
+    "BSD-2-Clause": ((r"\b2-clause|simplified bsd|redistributions in binary form must",), r"endorse or promote|neither the name|advertising materials|\b[34]-clause", None),
+    "BSD-3-Clause": ((r"\b3-clause|endorse or promote|neither the name",), r"advertising materials|\b4-clause", None),
+    "ISC": ((r"\bisc\b|provided that the above copyright notice",), None, None),
+    "MPL-2.0": ((r"\b(?:mozilla|mpl)", r"\b(?:v|version|license|mpl) 2(?:\.0)?(?![\d.])|mpl-2|v2"), None, None),
+    "CC-BY-4.0": ((r"\bcc[ -]by\b|\battribution\b", r"\b4\.0"), r"noncommercial|sharealike|noderiv|by-n|by-sa", None),
+    "CC-BY-SA-4.0": ((r"by-sa|sharealike", r"\b4\.0"), r"noncommercial|by-nc", None),
+    "CC-BY-NC-4.0": ((r"by-nc|noncommercial", r"\b4\.0"), r"sharealike|noderiv|nc-sa|nc-nd", None),
+    "CC0-1.0": ((r"\bcc0|\bzero",), None, None),
 }
 LEAST_COSINE = 0.7
 FILE_SHARE = 0.2
@@ -135,9 +135,59 @@ def told_apart(name: str, unit: list[str], text: str) -> bool:
     """Whether the unit (its terms) of a text has what tells the licence from its siblings."""
     if name not in MARKS:
         return True
-    needs, refuses = MARKS[name]
-    where = " ".join(terms(text) if name.startswith("BSD-") else unit[:HEAD] if len(unit) > LONG_UNIT else unit)
-    return all(re.search(n, where) for n in needs) and not (refuses and re.search(refuses, where))
+    needs, refuses, first = MARKS[name]
+    where = " ".join(terms(text) if name.startswith("BSD-") else unit)
+    found = [re.search(n, where) for n in needs]
+    if not all(found) or refuses and re.search(refuses, where):
+        return False
+    sibling = re.search(first, where) if first else None
+    return not sibling or sibling.start() >= found[0].end()
+
+
+_OPENERS = {"/*": "*/", "<!--": "-->", "(*": "*)", "{-": "-}", '"""': '"""', "'''": "'''"}
+_COMMENTED = re.compile(r"(?m)^[ \t]*(?://|#|/\*|<!--|\(\*|\{-|--|;|%|\"\"\"|'''|\*)")
+_LEADER = re.compile(r"^(?://+!?|#+!?|--+|;+|%+|\*+)(?=\s|$)")
+_OWNER = re.compile(r"(?i)^\W*(?:(?:portions )?copyright\b|\(c\)|©|all rights reserved|spdx-filecopyrighttext|authors?\b|@file\b|@author\b)")
+
+
+def comment_blocks(text: str) -> list[list[str]]:
+    """The comment blocks of a source text: runs of comment lines without their marks.  A block ends where its closing mark
+    or its run of line comments ends; a line of code ends it too."""
+    blocks: list[list[str]] = [[]]
+    if not _COMMENTED.search(text):
+        return []
+    close = None
+    for line in text.split("\n"):
+        s = line.strip()
+        if close is None:
+            opener = next((o for o in _OPENERS if s.startswith(o)), None)
+            if opener is None:
+                mark = _LEADER.match(s)
+                if mark:
+                    blocks[-1].append(s[mark.end():].strip())
+                elif blocks[-1]:
+                    blocks.append([])
+                continue
+            if blocks[-1]:
+                blocks.append([])
+            s, close = s[len(opener):].lstrip("*!"), _OPENERS[opener]
+        at = s.find(close)
+        s = s if at < 0 else s[:at]
+        blocks[-1].append(_LEADER.sub("", s.strip()).strip())
+        if at >= 0:
+            close = None
+            blocks.append([])
+    return [b for b in blocks if any(b)]
+
+
+def units_of(text: str) -> set[str]:
+    """What is held against the templates: every line, paragraph, comment block, paragraph of one, and the whole text; blocks
+    and paragraphs of comments also without their lines of owners."""
+    units = {x.strip() for x in [*text.split("\n"), *re.split(r"\n\s*\n", text), text]}
+    for block in comment_blocks(text):
+        for lines in (block, [x for x in block if not _OWNER.match(x)]):
+            units.update(x.strip() for x in ["\n".join(lines), *re.split(r"\n\s*\n", "\n".join(lines))])
+    return units - {""}
 
 
 def template_terms(templates: dict[str, tuple[str, ...]]) -> list[str]:
@@ -160,7 +210,7 @@ def document_frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[int,
 
 
 def own_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]], least: float) -> DataFrame:
-    """(path, own, score, share): the best template over every line, paragraph and the whole text, of those whose cosine is
+    """(path, own, score, share): the best template over every line, paragraph, comment block and the whole text, of those whose cosine is
     at least ``least`` and whose licence the unit tells from its siblings, and the part of the file's terms that the matching unit makes up.  Ties go to the first name."""
     ship(files.sparkSession)
     vocabulary = template_terms(templates)
@@ -179,10 +229,8 @@ def own_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]], least:
             weights.setdefault(t, np.zeros(len(units)))[i] = x / size
 
     def best(text: str):
-        lines = text.split("\n")
-        units = {x.strip() for x in [*lines, *re.split(r"\n\s*\n", text), text]} - {""}
         top, all_terms = (0.0, None, 0.0), None
-        for unit in sorted(units):
+        for unit in sorted(units_of(text)):
             found = terms(unit)
             if not any(t in idf for t in found):
                 continue

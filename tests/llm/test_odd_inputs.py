@@ -303,3 +303,43 @@ def test_pipeline_stages(spark, docs, labels, tmp_path):
         assert now.columns == docs.columns
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.agg({"length": "sum"}).first()[0] == packing.pack(now, public_tokenizers.path(TOKENIZER)).agg({"length": "sum"}).first()[0]
+
+
+CODE = "\n".join(f"def f{i}(x):\n    return x + {i}  # add" for i in range(50))
+
+
+@pytest.mark.parametrize("style", ["c", "slashes", "hash", "bare block"])
+def test_notices_in_comments_above_code(spark, style):
+    def comment(notice):
+        words = notice.split()
+        lines = [" ".join(words[i:i + 9]) for i in range(0, len(words), 9)]
+        if style == "c":
+            return "\n".join(["/*", *[f" * {x}" for x in lines], " */"])
+        if style == "bare block":
+            return "\n".join(["/* " + lines[0], *lines[1:], "*/"])
+        return "\n".join(f"{'//' if style == 'slashes' else '#'} {x}" for x in lines)
+
+    files, want = [], {}
+    for name, notices in licenses.TEMPLATES.items():
+        for k, notice in enumerate(n for n in notices if len(n) < 2500):
+            for n_lines in (0, 7, 100):
+                for owner in ("", "Copyright (c) 2019-2021 The Example Authors. All rights reserved.\n"):
+                    head = comment(notice)
+                    if owner and style in ("c", "bare block"):
+                        head = head.replace("/*", "/* " + owner.strip() + "\n *", 1)
+                    elif owner:
+                        head = head.split(" ", 1)[0] + " " + owner + head
+                    want[len(files)] = (name, k)
+                    files.append((len(files), "a/b.py", head + "\n" + "\n".join(CODE.split("\n")[:n_lines])))
+    plain = [(10_000 + i, "c/d.py", CODE[i * 40:] + "\n# a comment on the general case, version 2\n/* free software */") for i in range(20)]
+    got = {r.id: r.own for r in licenses.own_licenses(spark.createDataFrame(files + plain, "id long, path string, text string"), licenses.TEMPLATES, licenses.LEAST_COSINE).collect()}
+    wrong = {(want[i], got[i]) for i in want if got[i] != want[i][0]}
+    # one notice serves the BSD licences, whose clauses tell them apart
+    assert {w for w in wrong if not w[0][0].startswith("BSD")} == set()
+    assert all(got[i] is None for i, _, _ in plain)
+
+
+def test_comment_blocks():
+    text = "#!/bin/sh\n# one\n#\n# two\ncode # no\n  /** three\n   * four */ int x;\n// five\n/* six */\n<!-- seven\neight --> rest\nnot -- this\n'''\nnine"
+    assert licenses.comment_blocks(text) == [["one", "", "two"], ["three", "four"], ["five"], ["six"], ["seven", "eight"], ["", "nine"]]
+    assert licenses.comment_blocks("plain words\nno marks") == []
