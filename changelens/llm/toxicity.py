@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .base import ship, written
 
-# Terms that are swapped for each other, by kind.
+# Terms that are swapped for each other, by kind, in English, German, French and Spanish.
 IDENTITY_TERMS = {
     "gender": ("women", "men", "girls", "boys", "transgender", "nonbinary"),
     "gender of one": ("woman", "man", "girl", "boy", "female", "male"),
@@ -32,6 +32,21 @@ IDENTITY_TERMS = {
     "colour": ("black", "white", "brown"),
     "body": ("blind", "deaf", "disabled", "autistic"),
     "age": ("old", "young", "elderly", "teenage"),
+    "gender, German": ("frauen", "männer", "mädchen", "jungen"),
+    "orientation, German": ("schwul", "lesbisch", "bisexuell", "heterosexuell", "homosexuell"),
+    "believers, German": ("muslime", "christen", "juden", "hindus", "buddhisten", "katholiken", "atheisten"),
+    "origin, German": ("afrikaner", "amerikaner", "araber", "asiaten", "chinesen", "europäer", "inder", "türken", "polen"),
+    "body, German": ("blinde", "gehörlose", "behinderte", "autisten"),
+    "gender, French": ("femmes", "hommes", "filles", "garçons"),
+    "orientation, French": ("gays", "lesbiennes", "bisexuels", "hétérosexuels", "homosexuels"),
+    "believers, French": ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "catholiques", "athées"),
+    "origin, French": ("africains", "américains", "arabes", "asiatiques", "chinois", "européens", "indiens", "algériens", "roumains"),
+    "body, French": ("aveugles", "sourds", "handicapés", "autistes"),
+    "gender, Spanish": ("mujeres", "hombres", "niñas", "niños"),
+    "orientation, Spanish": ("gais", "lesbianas", "bisexuales", "heterosexuales", "homosexuales"),
+    "believers, Spanish": ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "católicos", "ateos"),
+    "origin, Spanish": ("africanos", "americanos", "árabes", "asiáticos", "chinos", "europeos", "indios", "mexicanos", "gitanos"),
+    "body, Spanish": ("ciegos", "sordos", "discapacitados", "autistas"),
 }
 
 #: Bounds of the sample of labelled rows that the model is fitted on.

@@ -171,3 +171,12 @@ def test_links_count_texts_with_one_shingle_set_each(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in jaccard_join.near_duplicates(df).collect()}
     assert got == {0: (0, 3, 3), 1: (0, 3, 3), 2: (0, 3, 3), 3: (0, 3, 2), 4: (0, 3, 2), 5: (5, 0, 1), 6: (6, 0, 2), 7: (6, 0, 2)}
+
+
+def test_identity_terms_are_swapped_in_each_language():
+    for sentence, other in (("Die Muslime essen Brot.", "christen$"), ("Les musulmans mangent du pain.", "juifs$"), ("Los musulmanes comen pan.", "judíos$"),
+                            ("The Muslims eat bread.", "jews$")):
+        gained = {f for _, after in toxicity.counterfactuals(sentence, toxicity.IDENTITY_TERMS) for f in after}
+        assert other in gained
+    terms = [t for kind in toxicity.IDENTITY_TERMS.values() for t in kind]
+    assert len(terms) == len(set(terms)) + 1  # hindus, English and German
