@@ -34,7 +34,7 @@ IDENTITY_TERMS = {
     "age": ("old", "young", "elderly", "teenage"),
     "gender, German": ("frauen", "männer", "mädchen", "jungen"),
     "orientation, German": ("schwul", "lesbisch", "bisexuell", "heterosexuell", "homosexuell"),
-    "believers, German": ("muslime", "christen", "juden", "hindus", "buddhisten", "katholiken", "atheisten"),
+    "believers, German": ("muslime", "christen", "juden", "buddhisten", "katholiken", "atheisten"),
     "origin, German": ("afrikaner", "amerikaner", "araber", "asiaten", "chinesen", "europäer", "inder", "türken", "polen"),
     "body, German": ("blinde", "gehörlose", "behinderte", "autisten"),
     "gender, French": ("femmes", "hommes", "filles", "garçons"),
