@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import path_category, path_extension
 from ..functions.text import model_text_cleanup, one_line
+from ..operators import alignment as A
 from ..operators import changes as C
 from ..operators import classify as K
 from ..operators import codemetrics as G
+from ..operators import history as H
 from ..operators import lines as L
 from ..operators import messages as M
 from ..operators import models as MD
@@ -38,15 +40,46 @@ def mine_bug_fix_changes(commits: DataFrame, files: DataFrame, done: DataFrame |
 
 
 def infer_messages(changes: DataFrame, keys: list[str], make_model, message: str = "message", diff: str = "diff",
-                   out: str = "inference") -> DataFrame:
+                   out: str = "inference", drop_blank: bool = False) -> DataFrame:
     """E-1, model step: (keys, inference) per change.  The diff is split into hunks, each prompted with the message (P23) and
     sent to the model (M1; a failing hunk gives ''), and the answers are joined by "; " in hunk order."""
-    hunks = C.hunk_split(changes.select(*keys, F.col(message).alias("__m"), diff), [*keys, "__m"], diff)
-    prompts = hunks.withColumn("__p", M.hunk_prompt(F.coalesce("__m", F.lit("")), F.col("hunk")))
-    answers = MD.batch_model_apply(prompts, "__p", "__a", make_model).withColumn("__a", F.coalesce("__a", F.lit("")))
+    answers = _hunk_answers(changes, keys, make_model, message, diff, drop_blank).withColumn("__a", F.coalesce("__a", F.lit("")))
     return C.ordered_join_text(answers, keys, "hunk_no", "__a", out=out)
 
 
+def _hunk_answers(changes: DataFrame, keys: list[str], make_model, message: str, diff: str, drop_blank: bool) -> DataFrame:
+    """(keys, hunk_no, __a, error) per hunk."""
+    hunks = C.hunk_split(changes.select(*keys, F.col(message).alias("__m"), diff), [*keys, "__m"], diff, drop_blank=drop_blank)
+    prompts = hunks.withColumn("__p", M.hunk_prompt(F.coalesce("__m", F.lit("")), F.col("hunk")))
+    return MD.batch_model_apply(prompts, "__p", "__a", make_model)
+
+
+def mine_complete(commits: DataFrame, versions: DataFrame, make_hunk_model, make_message_model, done: DataFrame | None = None,
+                  branch: str = "main", suffix: str = ".py") -> tuple[DataFrame, DataFrame]:
+    """E-1 from commits to the complete table: (complete, failed).
+
+    ``commits`` (hash, message, branch, parent), ``versions`` (hash, path, content).
+    The bug-fix changes that aren't ``done`` get their file's state at the first parent and at the commit; the aligned difference is split into
+    hunks, and those that aren't blank go to the hunk model; the answers are joined per change, and the second model rewrites the message.
+    ``complete`` is (hash, path, message, inference, rectified).  A hunk or message that a model fails on yields no text: it is in
+    ``failed`` (hash, path, hunk_no, stage, error), and a change none of whose hunks got an answer, or whose message failed, is not in
+    ``complete``.  Each step's rows are written before the next reads them, so no model is asked twice.
+    """
+    keys = ["hash", "path"]
+    mined = written(mine_bug_fix_changes(commits, versions.select(*keys).distinct(), done, branch, suffix), "mined")
+    states = written(H.before_after_state(mined, versions, commits.select("hash", "parent"), ["path"]).select(*keys, "message", "before", "after"), "states")
+    diffs = written(C.change_message_join(A.diff_texts(states, keys), states, keys, ["message"]), "diffs")
+    answers = written(_hunk_answers(diffs, keys, make_hunk_model, "message", "diff", True), "answers")
+    inferred = C.ordered_join_text(answers.where("error IS NULL"), keys, "hunk_no", "__a", out="inference")
+    rows = C.change_message_join(states.select(*keys, "message"), inferred, keys, ["inference"])
+    rows = rows.withColumn("__p", M.rectify_prompt(F.col("message"), F.col("path"), F.col("inference")))
+    rows = written(MD.batch_model_apply(rows, "__p", "__r", make_message_model), "messages")
+    failed = answers.where("error IS NOT NULL").select(*keys, "hunk_no", F.lit("inference").alias("stage"), "error").unionByName(
+        rows.where("error IS NOT NULL").select(*keys, F.lit(None).cast("int").alias("hunk_no"), F.lit("rectification").alias("stage"), "error"))
+    complete = rows.where("error IS NULL").select(*keys, "message", "inference", F.coalesce(model_text_cleanup("__r"), F.lit("")).alias("rectified"))
+    return complete, failed
+
+
 def complete_changes(changes: DataFrame, inferred: DataFrame, keys: list[str], make_model, message: str = "message",
                      path: str = "path", inference: str = "inference", out: str = "rectified") -> DataFrame:
     """E-1, last step: the inferred messages joined to the changes (J1), rewritten by a second model (P23, M1, P24; a failing

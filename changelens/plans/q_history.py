@@ -79,4 +79,4 @@ FROM m WINDOW w AS (PARTITION BY doc_id, line)"""
 @register("line_alignment", views=("v_edit",), sql=_alignment_sql())
 def line_alignment_q(t):
     """E3 in order: deleted, added and moved lines of every edited document."""
-    return A.line_alignment(V.v_edit(t), ["doc_id"])
+    return A.line_alignment(V.v_edit(t), ["doc_id"]).drop("below")

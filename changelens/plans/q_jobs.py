@@ -11,7 +11,7 @@ from ..session import scratch_path
 from ..sources.csv_io import table_sink
 from . import sqlfrag as S
 from . import views as V
-from .jobs import change_metrics, change_report, complete_changes, diff_discrepancy, infer_messages, mine_bug_fix_changes
+from .jobs import change_metrics, change_report, complete_changes, diff_discrepancy, infer_messages, mine_bug_fix_changes, mine_complete
 from .q_changes import _DONE_SQL, _done
 from .q_diffs import sql_discrepancy
 from .q_metrics import _G4_SQL, sql_blank
@@ -125,6 +125,62 @@ def complete_changes_q(t):
     return complete_changes(d, inferred, ["hash", "seq"], _echo_suggestion, message="role")
 
 
+def _count_or_fail():
+    def run(texts):
+        if any(f"{sign}line 2" in x for x in texts for sign in "+-"):
+            raise ValueError("refused")
+        return [f"{x.count('+part ') + x.count('+line ')} added, {x.count('-part ') + x.count('-line ')} deleted" for x in texts]
+    return run
+
+
+def _suggestion_or_fail():
+    def run(texts):
+        if any("\nFile: src/f7.py\n" in x for x in texts):
+            raise ValueError("refused")
+        return ["Create a new commit message: " + x.split("\nSuggestion: ", 1)[1].rsplit("\nNew message:", 1)[0] + "!" for x in texts]
+    return run
+
+
+# a text has a "part" and a "line" line, which never equal each other, so a change has at most one hunk
+_MINED_SQL = f"""
+WITH RECURSIVE mined AS (SELECT v.hash, v.path, replace({S.strip('c.message')}, chr(10), ' ') AS message, coalesce(v.content, '') AS after
+  FROM v_version v JOIN v_commit c USING (hash) WHERE c.branch = 'main' AND regexp_matches({S.normalize('c.message')}, '{S.quote_terms()}')),
+walk(hash, path, above) AS (
+  SELECT m.hash, m.path, b.parent FROM mined m JOIN v_branch b ON b.hash = m.hash
+  UNION ALL
+  SELECT w.hash, w.path, b.parent FROM walk w JOIN v_branch b ON b.hash = w.above
+  WHERE NOT EXISTS (SELECT 1 FROM v_version v WHERE v.hash = w.above AND v.path = w.path)),
+sides AS (SELECT m.hash, m.path, m.message, CASE WHEN after = '' THEN [] ELSE string_split(after, chr(10)) END AS a,
+                 CASE WHEN coalesce(v.content, '') = '' THEN [] ELSE string_split(v.content, chr(10)) END AS b
+  FROM mined m LEFT JOIN (SELECT w.hash, w.path, v.content FROM walk w JOIN v_version v ON v.hash = w.above AND v.path = w.path) v
+  ON v.hash = m.hash AND v.path = m.path),
+lines AS (SELECT hash, path, message, list_filter(a, lambda x: NOT list_contains(b, x)) AS plus, list_filter(b, lambda x: NOT list_contains(a, x)) AS minus FROM sides),
+asked AS (SELECT *, list_contains(plus, 'line 2') OR list_contains(minus, 'line 2') AS refused FROM lines WHERE len(plus) + len(minus) > 0)
+"""
+
+
+def _mined(t):
+    commits = V.v_commit(t).select("hash", "message", "branch").join(V.v_branch(t), "hash")
+    return mine_complete(commits, V.v_version(t), _count_or_fail, _suggestion_or_fail)
+
+
+@register("mine_complete", views=("v_commit", "v_branch", "v_version"), sql=_MINED_SQL + """
+SELECT hash, path, message, len(plus) || ' added, ' || len(minus) || ' deleted' AS inference,
+       len(plus) || ' added, ' || len(minus) || ' deleted!' AS rectified
+FROM asked WHERE NOT refused AND path <> 'src/f7.py'""")
+def mine_complete_q(t):
+    """E-1 from commits to the complete table: mined, paired with the state at the parent, aligned, inferred per hunk, rewritten."""
+    return _mined(t)[0]
+
+
+@register("mine_complete_failed", views=("v_commit", "v_branch", "v_version"), sql=_MINED_SQL + """
+SELECT hash, path, 'inference' AS stage FROM asked WHERE refused
+UNION ALL SELECT hash, path, 'rectification' FROM asked WHERE NOT refused AND path = 'src/f7.py'""")
+def mine_complete_failed_q(t):
+    """E-1, S7: hunks and messages that a model failed on."""
+    return _mined(t)[1].select("hash", "path", "stage")
+
+
 @register("message_score_means", views=("v_diff",), sql=f"""
 SELECT round(avg({sql_cos(sql_embed('role'), sql_embed('diff'))}), 6) AS dev_mean, round(avg({sql_cos(sql_embed('after'), sql_embed('diff'))}), 6) AS model_mean,
        round(avg({sql_cos(sql_embed('before'), sql_embed('diff'))}), 6) AS rect_mean, count(*) AS n FROM v_diff""")
