@@ -37,6 +37,7 @@ SPACE_CLASS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                            0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_END = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x85\u2028\u2029]"
+OTHER_LINE_END = r"[\x0B\x0C\r\x1C-\x1E\x85\u2028\u2029]"
 
 
 def strip_ws(c) -> Column:
@@ -120,10 +121,15 @@ def model_text_cleanup(c) -> Column:
 
 
 def lines(c) -> Column:
-    """Python ``splitlines()``: no trailing empty element, '' -> []."""
+    """Python ``splitlines()``: no trailing empty element, '' -> [].
+
+    A text whose line ends are all LF, told by one scan, is split at that character; only others go by the pattern.
+    """
     x = _col(c)
     body = F.regexp_replace(x, rf"(?:{LINE_END})\z", "")
-    return F.when(F.length(x) == 0, F.array().cast("array<string>")).otherwise(F.split(body, LINE_END))
+    unix = F.when(x.endswith("\n"), x.substr(F.lit(1), F.length(x) - 1)).otherwise(x)
+    return (F.when(F.length(x) == 0, F.array().cast("array<string>")).when(x.rlike(OTHER_LINE_END), F.split(body, LINE_END))
+            .otherwise(F.split(unix, "\n")))
 
 
 def text_digest(c) -> Column:
