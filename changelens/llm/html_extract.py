@@ -3,9 +3,10 @@
 Tokens are the containers of a page (by their path) and its text blocks (path
 and text).  Over the pages of a host, near-equal ones counted once, every token has an occurrence
 vector, a count per page; tokens with equal vectors form an equivalence class.
-A class is valid if it has ``CLASS_TOKENS`` tokens or more and is on at least half
-of the host's pages, and on more than one.  The containers of valid classes nest by
-their paths into the host's template; its texts of valid classes are fixed, and what
+A page's layout is the largest class of containers it has, so a host with several layouts has a
+template for each.  Within a layout a class is valid if it has ``CLASS_TOKENS`` tokens or more and is on at least half
+of the layout's pages, and on more than one.  The containers of valid classes nest by
+their paths into the layout's template; its texts of valid classes are fixed, and what
 other text there is fills its gaps.  The slot to extract is the container that means
 the article (article, main, or a class or id that says so), or else the innermost
 container that holds the gaps' text.  What is in the slot, without menus, forms and
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import ship, shingle_hashes, written
+from .base import join_per_key, ship, shingle_hashes, written
 from .jaccard_join import _coefficients, minhash
 
 SHARE = 0.5
@@ -289,13 +290,11 @@ def _prefixes(path: str):
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ">"))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, vector, token, path, text, most, support, n_pages, n_tokens, main, chars) of all tokens on half of their host's pages.
+def occurrences(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, again): (host, token, path, text, n, page, main, chars) of every token of every page, named by its hash, and the pages (host, page)
+    that are near another page of their host with a lesser name.
 
-    ``text`` marks text blocks, the others are containers.  ``vector`` digests the
-    occurrence vector, so (host, vector) is the equivalence class and ``n_tokens``
-    its size.  Near-equal pages of a host count once: a page counts if no page with a
-    lesser key is near it.
+    ``text`` marks text blocks, the others are containers.
     """
     a, b = _coefficients(BANDS * ROWS)
 
@@ -310,9 +309,8 @@ def templates(pages: DataFrame) -> DataFrame:
         names = ["host", "token", "path", "text", "n", "page", "main", "chars", "bands"]
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            for host, page, key in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "page"))):
                 found, seen, _ = blocks(page)
-                key = xxhash.xxh3_64_intdigest(page.encode("utf-8", "replace")) - 2 ** 63
                 chars: dict[str, int] = defaultdict(int)
                 texts: dict[int, list] = {}
                 for path, text, skipped, links in found:
@@ -334,26 +332,73 @@ def templates(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=names)
 
     ship(pages.sparkSession)
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     schema = "host string, token long, path string, text boolean, n long, page long, main boolean, chars long, bands array<long>"
-    found = written(rows.mapInArrow(tokens, schema), "html-found")
+    rows = _by_host(pages).select("host", "html", "page").mapInArrow(tokens, schema).dropDuplicates(["host", "token", "page"])
+    found = written(rows, "html-found")
     # every page has the token of its root, and it holds the bands
     near = found.filter("bands IS NOT NULL").select("host", "page", F.explode("bands").alias("band")).distinct()
     first = near.groupBy("host", "band").agg(F.min("page").alias("first"))
     again = near.join(first, ["host", "band"]).filter("first < page").select("host", "page").distinct()
-    found = found.drop("bands").join(again, ["host", "page"], "left_anti").dropDuplicates(["host", "token", "page"])
-    per = found.groupBy("host", "token").agg(
+    return found.drop("bands"), written(again, "html-again")
+
+
+def _by_host(pages: DataFrame) -> DataFrame:
+    """``pages`` with its host, null html as empty, and ``page``, the hash that names its html."""
+    html = F.coalesce("html", F.lit(""))
+    return pages.withColumn("host", host_of(F.col("url"))).withColumn("html", html).withColumn("page", F.xxhash64("html"))
+
+
+def _vectors(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, token, vector, support, path, text, most, main, chars): each token with the digest of its occurrence vector over the pages of its key."""
+    return found.groupBy(*keys, "token").agg(
         F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("support"), F.max("path").alias("path"), F.bool_or("text").alias("text"),
         F.max("n").alias("most"), F.bool_or("main").alias("main"), F.sum("chars").alias("chars"))
-    per = written(per, "html-tokens")
-    size = per.filter("path = '' AND NOT text").select("host", F.col("support").alias("n_pages"))
-    often = per.join(size, "host").filter(F.col("support") >= SHARE * F.col("n_pages"))
+
+
+def layouts(found: DataFrame, again: DataFrame) -> DataFrame:
+    """(host, page, layout): the largest class of containers, of CLASS_TOKENS or more and on several distinct pages, that a page has (0: none).
+
+    A class is known by one of its tokens.  Of equally large classes the one on more pages counts.
+    """
+    boxes = found.filter("NOT text")
+    per = _vectors(boxes.join(again, ["host", "page"], "left_anti"), ["host"])
+    classes = per.filter("support > 1").groupBy("host", "vector").agg(F.count("*").alias("size"), F.max("support").alias("pages"), F.min("token").alias("token"))
+    classes = classes.filter(F.col("size") >= CLASS_TOKENS)
+    on = boxes.groupBy("host", "token").agg(F.count("*").alias("__n"))
+    known = join_per_key(boxes.select("host", "token", "page"), classes.join(on, ["host", "token"]), ["host", "token"], "__n")
+    best = known.groupBy("host", "page").agg(F.max(F.struct("size", "pages", "vector"))["vector"].alias("layout"))
+    every = boxes.filter("path = ''").select("host", "page")
+    return written(every.join(best, ["host", "page"], "left").fillna(0, ["layout"]), "html-layouts")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """The tokens of ``_templates``."""
+    return _templates(pages)[0]
+
+
+def _templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tokens, layouts): (host, layout, vector, token, path, text, most, support, n_pages, n_tokens, main, chars) of all tokens on half of
+    their layout's pages, and the layout of every page.
+
+    ``vector`` digests the occurrence vector, so (host, layout, vector) is the equivalence class and ``n_tokens``
+    its size.  Near-equal pages of a host count once: a page counts if no page with a
+    lesser name is near it.
+    """
+    found, again = occurrences(pages)
+    of_page = layouts(found, again)
+    key = ["host", "layout"]
+    n_tokens = found.groupBy("host", "page").agg(F.count("*").alias("__n"))
+    counted = of_page.join(again, ["host", "page"], "left_anti").join(n_tokens, ["host", "page"])
+    per = written(_vectors(join_per_key(found, counted, ["host", "page"], "__n"), key), "html-tokens")
+    size = per.filter("path = '' AND NOT text").select(*key, F.col("support").alias("n_pages"))
+    held = per.groupBy(*key).agg(F.count("*").alias("__n"))
+    often = join_per_key(per, size.join(held, key), key, "__n").drop("__n").filter(F.col("support") >= SHARE * F.col("n_pages"))
     # tokens of one class have the same support, so a class is here whole or not at all
-    return often.join(often.groupBy("host", "vector").agg(F.count("*").alias("n_tokens")), ["host", "vector"])
+    return often.join(often.groupBy(*key, "vector").agg(F.count("*").alias("n_tokens")), [*key, "vector"]), of_page
 
 
-def slots(pages: DataFrame) -> DataFrame:
-    """(host, main, gap, common): per host the path to extract (null: the whole body) and its template texts.
+def slots(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(slots, layouts): (host, layout, main, gap, common) with the path to extract (null: the whole body) and its template texts.
 
     ``gap``: no container means main, so the slot is the innermost template
     container, once on a page, around GAP_SHARE of the text that fills the
@@ -361,22 +406,23 @@ def slots(pages: DataFrame) -> DataFrame:
     pages share, which one page bounds.  Hosts whose pages are all near-equal have no
     template texts.
     """
-    valid = written(templates(pages), "html-templates")
+    found, of_page = _templates(pages)
+    valid, key = written(found, "html-templates"), ["host", "layout"]
     inner = F.struct((F.col("path").rlike(r">(article|main)[^>]*$")).cast("int").alias("named"), "chars",
                      F.length("path").alias("depth"), "path")
-    main = valid.filter("NOT text AND main AND chars > 0").groupBy("host").agg(F.max(inner)["path"].alias("named"))
+    main = valid.filter("NOT text AND main AND chars > 0").groupBy(*key).agg(F.max(inner)["path"].alias("named"))
     fixed = valid.filter((F.col("support") > 1) & (F.col("n_tokens") >= CLASS_TOKENS))
     # classes nest by path: what a template text takes of a container it takes of all containers around it
-    filled = (fixed.filter("text AND chars > 0").select("host", "chars", F.explode(_prefixes("path")).alias("path"))
-              .groupBy("host", "path").agg(F.sum("chars").alias("taken")))
+    filled = (fixed.filter("text AND chars > 0").select(*key, "chars", F.explode(_prefixes("path")).alias("path"))
+              .groupBy(*key, "path").agg(F.sum("chars").alias("taken")))
     left = (F.col("chars") - F.coalesce("taken", F.lit(0))).alias("left")
-    total = valid.filter("path = '' AND NOT text").join(filled, ["host", "path"], "left").select("host", left).withColumnRenamed("left", "total")
-    gaps = (fixed.filter("NOT text AND most = 1").join(filled, ["host", "path"], "left").select("host", "path", left).join(total, "host")
+    total = valid.filter("path = '' AND NOT text").join(filled, [*key, "path"], "left").select(*key, left).withColumnRenamed("left", "total")
+    gaps = (fixed.filter("NOT text AND most = 1").join(filled, [*key, "path"], "left").select(*key, "path", left).join(total, key)
             .filter((F.col("total") > 0) & (F.col("left") >= GAP_SHARE * F.col("total")) & ~F.col("path").rlike(r"^(>html[^>]*)?(>body[^>]*)?$"))
-            .groupBy("host").agg(F.max_by("path", F.struct(F.size(F.split("path", ">")), "path")).alias("inner")))
-    text = fixed.filter("text").groupBy("host").agg(F.collect_list("token").alias("common"))
-    slot = main.join(gaps, "host", "full_outer").select("host", F.coalesce("named", "inner").alias("main"), F.col("named").isNull().alias("gap"))
-    return slot.join(text, "host", "full_outer")
+            .groupBy(*key).agg(F.max_by("path", F.struct(F.size(F.split("path", ">")), "path")).alias("inner")))
+    text = fixed.filter("text").groupBy(*key).agg(F.collect_list("token").alias("common"))
+    slot = main.join(gaps, key, "full_outer").select(*key, F.coalesce("named", "inner").alias("main"), F.col("named").isNull().alias("gap"))
+    return slot.join(text, key, "full_outer"), of_page
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -388,8 +434,11 @@ def extract(pages: DataFrame) -> DataFrame:
     texts before its first and after its last other text go, unless it has no other.
     """
     ship(pages.sparkSession)
-    kept = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    told = kept.join(written(slots(pages), "html-slots"), "host", "left")
+    kept = _by_host(pages.select("page_id", "url", "html"))
+    slot, of_page = slots(pages)
+    # one narrow row per distinct page, and one join of the pages themselves
+    known = written(of_page.join(slot, ["host", "layout"], "left"), "html-slots")
+    told = kept.join(known, ["host", "page"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -343,3 +343,22 @@ def test_comment_blocks():
     text = "#!/bin/sh\n# one\n#\n# two\ncode # no\n  /** three\n   * four */ int x;\n// five\n/* six */\n<!-- seven\neight --> rest\nnot -- this\n'''\nnine"
     assert licenses.comment_blocks(text) == [["one", "", "two"], ["three", "four"], ["five"], ["six"], ["seven", "eight"], ["", "nine"]]
     assert licenses.comment_blocks("plain words\nno marks") == []
+
+
+def test_each_layout_of_a_host_has_its_own_template(spark):
+    def story(i):
+        return [" ".join(f"word{i}x{j}y{k}" for k in range(25)) for j in range(4)]
+
+    def red(i):
+        return ("<html><body><div class='r1'><span>Red portal of news</span></div><div class='r2'><p>" + "</p><p>".join(story(i)) +
+                "</p></div><div class='r3'><em>Red imprint and terms</em></div></body></html>")
+
+    def blue(i):
+        return ("<html><body><table><tr><td class='b1'><b>Blue weather</b><i>Blue letters to us</i></td><td class='b2'><section class='b3'><p>" + "</p><p>".join(story(i)) +
+                "</p></section></td></tr></table><div class='b4'><u>Blue address line</u></div></body></html>")
+
+    pages = [(i, f"http://two.example/{i}", red(i)) for i in range(6)] + [(10 + i, f"http://two.example/b{i}", blue(10 + i)) for i in range(4)]
+    pages += [(50, "http://two.example/again", red(0)), (51, None, None)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(got) == 12 and got[51] == "" and got[50] == got[0]
+    assert all(got[i] == "\n\n".join(story(i)) for i in [*range(6), *range(10, 14)])
