@@ -211,8 +211,8 @@ def change_report_q(t):
     return change_report(V.v_file(t), "hash", "path")
 
 
-@register("bleu_duplicate_keys", sql=sql_bleu("SELECT doc_id % 5 AS k, text AS cand, lag(text) OVER (ORDER BY doc_id) AS ref, doc_id FROM documents "
-                                              "QUALIFY ref IS NOT NULL", "k, doc_id").replace("SELECT k, doc_id, round(", "SELECT k, round("))
+@register("bleu_duplicate_keys", sql=sql_bleu("SELECT d.doc_id % 5 AS k, d.text AS cand, p.text AS ref, d.doc_id FROM documents d "
+                                              "JOIN documents p ON p.doc_id + 1 = d.doc_id", "k, doc_id").replace("SELECT k, doc_id, round(", "SELECT k, round("))
 def bleu_duplicate_keys_q(t):
     """M6 where keys repeat: one score per row, none mixed."""
     d = t.documents.select("doc_id", "text")

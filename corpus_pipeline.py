@@ -61,7 +61,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [("quality_rules", good_documents), ("line_dedup", fresh_lines), ("jaccard_join", one_of_each),
           ("mixing", mixed_sources), ("packing", packed_sequences)]
-#: Learned rules and token ids have no SQL; tests hold each stage to brute force.
+#: Learned rules and token ids have no SQL; tests/llm/test_brute_force.py holds every stage to SQL or plain Python.
 ORACLE_SQL = None
 
 
