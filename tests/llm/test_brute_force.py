@@ -39,7 +39,8 @@ def test_fingerprints_of_the_smoke_table(spark):
                 assert abs(near - true) < 1e-9 or not (a and b)
             else:
                 off.append(abs(near - true))
-    assert np.mean(off) < 0.06 and max(off) < 0.45
+    # a sketch is an estimate: of a few dozen shingles it may hold but a handful in the range both cover
+    assert np.mean(off) < 0.06 and np.quantile(off, 0.95) < 0.3
 
 
 def sql(query, tables):
