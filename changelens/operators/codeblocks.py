@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import LINE_END
-from .codemetrics import DECISION_RE, code_only
+from .codemetrics import DECISION_RE, code_only, unix_text
 
 #: The first word of a line that opens a block, and the block's name.
 HEAD_RE = r"^[ \t]*(?:async[ \t]+)?(def|class)[ \t]+([^\s(:\[]+)"
@@ -51,7 +50,7 @@ def code_blocks(df: DataFrame, keys: list[str], source: str) -> DataFrame:
     counting as one.  ``parent_no`` is null at the top level.  Brackets and backslashes that carry a statement over lines are followed; syntax is not checked.  A null text has no
     blocks.  The fold is linear in the lines, times the blocks of the file for lines within one.
     """
-    code = code_only(F.regexp_replace(F.col(source), LINE_END, "\n"))
+    code = code_only(unix_text(source))
     start = F.struct(F.array().cast("array<struct<indent:int,no:int,kind:string>>").alias("stack"), F.array().cast(f"array<{_BLOCK}>").alias("blocks"),
                      F.lit(0).alias("open"), F.lit(False).alias("wrapped")).cast(_STATE)
     lines = df.select(*keys, _lines(code).alias("__lines"))

@@ -185,3 +185,25 @@ def test_bleu_counts_in_the_row_and_equals_a_plain_count(spark, capsys):
     plan = capsys.readouterr().out
     assert "Exchange" not in plan and "Generate" not in plan
     assert sorted(x.bleu for x in scored.collect())[:2] == [0.0, 0.0]
+
+
+def test_metric_patterns_equal_the_plain_ones(spark, capsys):
+    import random
+
+    from changelens.operators import codemetrics as G
+
+    operand, binary = r"([A-Za-z_][A-Za-z_0-9]*|[0-9]+(?:\.[0-9]+)?)", r"(?:\*\*|//|==|!=|<=|>=|<<|>>|[+\-*/%<>&|^@])"
+    plain = [(G.OPERATOR_RE, r"\*\*|//|==|!=|<=|>=|<<|>>|[+\-*/%<>&|^~@]|\b(?:and|or|not)\b", 0),
+             (G.LEFT_OPERAND_RE, operand + r"[ \t]*" + binary, 1), (G.RIGHT_OPERAND_RE, binary + r"[ \t]*" + operand, 1)]
+    draw = random.Random(5)
+    bits = ["a", "b1", "_x", "9", "1.5", ".", "+", "*", "/", "=", "!", "<", ">", "~", "@", " ", "\t", "\n", "and", "or", "not", "é", "(", ")"]
+    df = spark.createDataFrame([("".join(draw.choice(bits) for _ in range(draw.randrange(25))),) for _ in range(3000)], "t string")
+    for new, old, group in plain:
+        assert df.where(F.regexp_extract_all("t", F.lit(new), group) != F.regexp_extract_all("t", F.lit(old), group)).count() == 0
+    binaries = F.regexp_extract_all("t", F.lit(G.OPERATOR_RE), 0)
+    for word in G.NOT_BINARY:
+        binaries = F.array_remove(binaries, word)
+    assert df.where(F.size(binaries) != F.regexp_count("t", F.lit(binary))).count() == 0
+    G.code_metrics(df, "t", "m_").select("m_mi").explain(True)
+    plan = capsys.readouterr().out.split("== Physical Plan ==")[1]
+    assert plan.count("regexp_extract_all") + plan.count("regexp_replace") <= 12  # 15 passes before
