@@ -178,3 +178,15 @@ def test_metric_patterns_equal_the_plain_ones(spark, capsys):
     G.code_metrics(df, "t", "m_").select("m_mi").explain(True)
     plan = capsys.readouterr().out.split("== Physical Plan ==")[1]
     assert plan.count("regexp_extract_all") + plan.count("regexp_replace") <= 12  # 15 passes before
+
+
+def test_native_embedder_scores_changes_in_the_row(spark):
+    df = spark.createDataFrame([(1, "a b c", "a b d"), (1, "a b c", "a b c"), (2, None, "a"), (2, "", ""), (None, "x x y", "y x")], "k int, b string, a string")
+
+    def by_text(d, text, out):  # not marked as native: one call per distinct text
+        return MD.embed_text(d, text, out)
+
+    native = SIM.change_similarity(df, "b", "a", MD.embed_text, out="s")
+    assert "Exchange" not in native._jdf.queryExecution().executedPlan().toString()
+    rows = lambda d: sorted(map(str, d.select("k", "b", "a", F.round("s", 9)).collect()))
+    assert rows(native) == rows(SIM.change_similarity(df, "b", "a", by_text, out="s"))
