@@ -93,3 +93,16 @@ def test_moments_of_nothing_and_of_one_value(spark):
     one = {r["name"]: r for r in MO.summary(MO.merged(MO.moments(df, ["x", "y"]))).collect()}
     assert one["y"]["std"] is None and one["y"]["mean"] == 1.0 and one["x"].n == 0
     assert MO.correlations(MO.moments(df.unionAll(df), ["x", "y"])).first()["corr"] is None
+
+
+def test_a_text_is_read_once_by_blocks(spark):
+    plan = CB.code_blocks(spark.createDataFrame([(1, SOURCE)], "k int, s string"), ["k"], "s")._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_blocks_of_odd_texts(spark):
+    assert blocks(spark, "") == blocks(spark, "\n\t\n") == blocks(spark, "x = (\n") == []
+    # a comment or string is no head, other line ends count, a tab is eight, a bracket left open keeps the block
+    source = "# def a():\r\n'''def b():\n  if'''\u2028class D:\x0b\tdef é(self):\r            if x or (\ndef no(): pass\n): pass\r\n        \\ \n  and q\n        while y: pass"
+    assert blocks(spark, source) == [(0, "D", "class", None, 0, 3), (1, "é", "method", 0, 1, 3)]
+    assert blocks(spark, "def 'x'():\n  pass\ndef (y): pass\nasync  def for(): pass\nasync deff x") == [(0, "_s", "function", None, 0, 1), (1, "for", "function", None, 0, 2)]
