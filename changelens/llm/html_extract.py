@@ -20,6 +20,7 @@ holds the pages of a host.
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -69,6 +70,9 @@ _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
+#: What ``occurrences`` tells of a token.
+TOKEN = (("token", pa.int64()), ("path", pa.string()), ("text", pa.bool_()), ("n", pa.int64()), ("main", pa.bool_()), ("chars", pa.int64()))
+
 
 #: What class, id, role and the like say of an element, the strongest word last.
 NOTHING, PERHAPS, ADVERT, SURE, HIDDEN = range(5)
@@ -291,10 +295,11 @@ def _prefixes(path: str):
 
 
 def occurrences(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(found, again): (host, token, path, text, n, page, main, chars) of every token of every page, named by its hash, and the pages (host, page)
+    """(found, again): the tokens of every page (host, page, tokens), a row per distinct page, and the pages (host, page)
     that are near another page of their host with a lesser name.
 
-    ``text`` marks text blocks, the others are containers.
+    ``tokens`` has (token, path, text, n, main, chars) of each token, named by its hash.  ``text`` marks text blocks, the
+    others are containers.
     """
     a, b = _coefficients(BANDS * ROWS)
 
@@ -306,10 +311,11 @@ def occurrences(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         return [xxhash.xxh3_64_intdigest(row.tobytes(), seed=i) - 2 ** 63 for i, row in enumerate(m)]
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "token", "path", "text", "n", "page", "main", "chars", "bands"]
+        names = [name for name, _ in TOKEN]
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for host, page, key in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "page"))):
+            out: list[list] = [[] for _ in TOKEN]
+            ends, near = [0], []
+            for page in batch.column("html").to_pylist():
                 found, seen, _ = blocks(page)
                 chars: dict[str, int] = defaultdict(int)
                 texts: dict[int, list] = {}
@@ -322,22 +328,23 @@ def occurrences(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
                     while own and path:
                         chars[path] += own
                         path = path.rpartition(">")[0]
-                rows = [(host, _token(""), "", False, 1, key, False, chars[""], bands(found))]
-                rows += [(host, _token(p), p, False, n, key, main, chars[p], None) for p, (n, main) in seen.items()]
-                rows += [(host, t, p, True, n, key, False, c, None) for t, (p, n, c) in texts.items()]
-                for row in rows:
-                    for o, v in zip(out, row):
-                        o.append(v)
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=names)
+                rows = [(_token(""), "", False, 1, False, chars[""])]
+                rows += [(_token(p), p, False, n, main, chars[p]) for p, (n, main) in seen.items()]
+                rows += [(t, p, True, n, False, c) for t, (p, n, c) in texts.items()]
+                for o, v in zip(out, zip(*rows)):
+                    o.extend(v)
+                ends.append(len(out[0]))
+                near.append(bands(found))
+            rows = pa.StructArray.from_arrays([pa.array(o, k) for o, (_, k) in zip(out, TOKEN)], names=names)
+            columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows), pa.array(near, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), *columns], names=["host", "page", "tokens", "bands"])
 
     ship(pages.sparkSession)
-    schema = "host string, token long, path string, text boolean, n long, page long, main boolean, chars long, bands array<long>"
-    rows = _by_host(pages).select("host", "html", "page").mapInArrow(tokens, schema).dropDuplicates(["host", "token", "page"])
+    schema = "host string, page long, tokens array<struct<token: long, path: string, text: boolean, n: long, main: boolean, chars: long>>, bands array<long>"
+    rows = _by_host(pages).select("host", "html", "page").mapInArrow(tokens, schema).dropDuplicates(["host", "page"])
     found = written(rows, "html-found")
-    # every page has the token of its root, and it holds the bands
-    near = found.filter("bands IS NOT NULL").select("host", "page", F.explode("bands").alias("band")).distinct()
-    first = near.groupBy("host", "band").agg(F.min("page").alias("first"))
+    near = found.select("host", "page", F.explode("bands").alias("band"))
+    first = near.groupBy("host", "band").agg(F.min("page").alias("first"), F.max("page").alias("__last")).filter("first < __last").drop("__last")
     again = near.join(first, ["host", "band"]).filter("first < page").select("host", "page").distinct()
     return found.drop("bands"), written(again, "html-again")
 
@@ -348,6 +355,11 @@ def _by_host(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", host_of(F.col("url"))).withColumn("html", html).withColumn("page", F.xxhash64("html"))
 
 
+def _each(found: DataFrame) -> DataFrame:
+    """A row for each of a page's tokens."""
+    return found.withColumn("__token", F.explode("tokens")).drop("tokens").select("*", "__token.*").drop("__token")
+
+
 def _vectors(found: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, token, vector, support, path, text, most, main, chars): each token with the digest of its occurrence vector over the pages of its key."""
     return found.groupBy(*keys, "token").agg(
@@ -360,15 +372,15 @@ def layouts(found: DataFrame, again: DataFrame) -> DataFrame:
 
     A class is known by one of its tokens.  Of equally large classes the one on more pages counts.
     """
-    boxes = found.filter("NOT text")
-    per = _vectors(boxes.join(again, ["host", "page"], "left_anti"), ["host"])
+    held = found.withColumn("tokens", F.filter("tokens", lambda t: ~t["text"]))
+    boxes = _each(held)
+    per = _vectors(_each(held.join(again, ["host", "page"], "left_anti")), ["host"])
     classes = per.filter("support > 1").groupBy("host", "vector").agg(F.count("*").alias("size"), F.max("support").alias("pages"), F.min("token").alias("token"))
     classes = classes.filter(F.col("size") >= CLASS_TOKENS)
     on = boxes.groupBy("host", "token").agg(F.count("*").alias("__n"))
     known = join_per_key(boxes.select("host", "token", "page"), classes.join(on, ["host", "token"]), ["host", "token"], "__n")
     best = known.groupBy("host", "page").agg(F.max(F.struct("size", "pages", "vector"))["vector"].alias("layout"))
-    every = boxes.filter("path = ''").select("host", "page")
-    return written(every.join(best, ["host", "page"], "left").fillna(0, ["layout"]), "html-layouts")
+    return written(found.select("host", "page").join(best, ["host", "page"], "left").fillna(0, ["layout"]), "html-layouts")
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -387,9 +399,9 @@ def _templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     found, again = occurrences(pages)
     of_page = layouts(found, again)
     key = ["host", "layout"]
-    n_tokens = found.groupBy("host", "page").agg(F.count("*").alias("__n"))
-    counted = of_page.join(again, ["host", "page"], "left_anti").join(n_tokens, ["host", "page"])
-    per = written(_vectors(join_per_key(found, counted, ["host", "page"], "__n"), key), "html-tokens")
+    counted = of_page.join(again, ["host", "page"], "left_anti")
+    # a merge join at any size, so that the disk it takes grows with the pages
+    per = written(_vectors(_each(found.join(counted.hint("merge"), ["host", "page"])), key), "html-tokens")
     size = per.filter("path = '' AND NOT text").select(*key, F.col("support").alias("n_pages"))
     held = per.groupBy(*key).agg(F.count("*").alias("__n"))
     often = join_per_key(per, size.join(held, key), key, "__n").drop("__n").filter(F.col("support") >= SHARE * F.col("n_pages"))
@@ -425,6 +437,32 @@ def slots(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return slot.join(text, key, "full_outer"), of_page
 
 
+def _packed(page: str) -> tuple[bytes, int]:
+    """What ``_text`` reads of a page: its containers, those that mean main, and the blocks that aren't skipped as (path, text, h1); zstd-packed, and its size."""
+    found, seen, titles = blocks(page)
+    title = set(titles)
+    own = [p for p, (_, m) in seen.items() if m]
+    kept = [(p, t, i in title) for i, (p, t, skipped, _) in enumerate(found) if not skipped]
+    plain = json.dumps([list(seen), own, kept], ensure_ascii=False).encode()
+    return pa.compress(plain, "zstd", asbytes=True), len(plain)
+
+
+def _text(packed: bytes, size: int, main: str | None, gap: bool | None, common: list[int] | None) -> str:
+    """The text of a page by its layout's slot; see ``extract``."""
+    seen, own, found = json.loads(pa.decompress(packed, size, "zstd", asbytes=True))
+    fixed = set(common or ())
+    if main not in seen:
+        gap = False
+        named = [p for p in own if re.search(r">(article|main)[^>]*$", p)]
+        main = max(named or own, key=len, default="")
+    alike = [(p, t) for p, t, h1 in found if p == main or p.startswith(f"{main}>") or gap and h1 and _token(p, t) not in fixed]
+    if not main or not alike:
+        alike = [(p, t) for p, t, _ in found]
+        free = [i for i, (p, t) in enumerate(alike) if _token(p, t) not in fixed] if fixed else []
+        alike = alike[free[0]:free[-1] + 1] if free else alike
+    return "\n\n".join(t for _, t in alike)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for every row of ``pages``; blocks are joined by an empty line.
 
@@ -434,31 +472,24 @@ def extract(pages: DataFrame) -> DataFrame:
     texts before its first and after its last other text go, unless it has no other.
     """
     ship(pages.sparkSession)
-    kept = _by_host(pages.select("page_id", "url", "html"))
     slot, of_page = slots(pages)
-    # one narrow row per distinct page, and one join of the pages themselves
+    # one narrow row per distinct page, and one join of the pages themselves: their parsed blocks move, packed, not their html
     known = written(of_page.join(slot, ["host", "layout"], "left"), "html-slots")
-    told = kept.join(known, ["host", "page"], "left")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = [_packed(page) for page in b.column("html").to_pylist()]
+            columns = [pa.array([p for p, _ in packed], pa.binary()), pa.array([n for _, n in packed], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *columns], names=[*names, "packed", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for page, main, gap, common in zip(*(b.column(c).to_pylist() for c in ("html", "main", "gap", "common"))):
-                found, seen, titles = blocks(page)
-                fixed = set(common or ())
-                own = [p for p, (_, m) in seen.items() if m]
-                if main not in seen:
-                    gap = False
-                    named = [p for p in own if re.search(r">(article|main)[^>]*$", p)]
-                    main = max(named or own, key=len, default="")
-                title = {i for i in titles if _token(*found[i][:2]) not in fixed} if gap else ()
-                alike = [(p, t) for i, (p, t, skipped, _) in enumerate(found) if not skipped and (p == main or p.startswith(f"{main}>") or i in title)]
-                if not main or not alike:
-                    alike = [(p, t) for p, t, skipped, _ in found if not skipped]
-                    free = [i for i, (p, t) in enumerate(alike) if _token(p, t) not in fixed] if fixed else []
-                    alike = alike[free[0]:free[-1] + 1] if free else alike
-                texts.append("\n\n".join(t for _, t in alike))
+            texts = [_text(*row) for row in zip(*(b.column(c).to_pylist() for c in ("packed", "size", "main", "gap", "common")))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return (told.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "main", "gap", "common")
+    names = ["page_id", "url", "host", "page"]
+    kept = (_by_host(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")).select(*names, "html")
+            .mapInArrow(pack, "page_id long, url string, host string, page long, packed binary, size long"))
+    # merged at any size, as above
+    return (kept.join(known.hint("merge"), ["host", "page"], "left").select("page_id", "url", "packed", "size", "main", "gap", "common")
             .mapInArrow(run, "page_id long, url string, text string"))

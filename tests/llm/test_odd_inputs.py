@@ -253,6 +253,26 @@ def test_html_keeps_repeated_text_of_articles(spark):
     assert [(r[0], got[i]) for i, r in enumerate(rows)] == [(r[0], r[2]) for r in rows]
 
 
+def test_html_is_not_moved_and_every_size_has_one_plan(spark):
+    """The pages join their templates by parsed, packed blocks, and by a merge however few they are, so disk grows with the pages."""
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    page = "<html><head><style>p{margin:0}</style><script>" + "var a = 1;" * 500 + "</script></head><body><p>Menu</p><article><h1>T{i}</h1><p>&lt;Text&gt;  é𝄞 {i}</article></body></html>"
+    df = spark.createDataFrame([(i, f"http://moved.example/{i}", page.replace("{i}", str(i))) for i in range(4)], "page_id long, url string, html string")
+    told = html_extract.extract(df)
+    joins = [n for n in nodes(told._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join"]
+    assert len(joins) == 1 and "merge" in joins[0].hint().toString()
+    moved = joins[0].output().mkString(",")
+    assert "packed" in moved and "html" not in moved
+    assert {r.page_id: r.text for r in told.collect()} == {i: f"T{i}\n\n<Text> é𝄞 {i}" for i in range(4)}
+    found, _ = html_extract.occurrences(df.union(df))
+    assert found.count() == 4 and all(len({t.token for t in r.tokens}) == len(r.tokens) for r in found.collect())
+    assert len(html_extract._packed(page)[0]) < len(page) / 20
+
+
 def test_blocks_by_meaning():
     def main(page):
         return [t for _, t, skipped, _ in html_extract.blocks(page)[0] if not skipped]
