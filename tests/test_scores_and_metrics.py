@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -190,3 +191,41 @@ def test_native_embedder_scores_changes_in_the_row(spark):
     assert "Exchange" not in native._jdf.queryExecution().executedPlan().toString()
     rows = lambda d: sorted(map(str, d.select("k", "b", "a", F.round("s", 9)).collect()))
     assert rows(native) == rows(SIM.change_similarity(df, "b", "a", by_text, out="s"))
+
+
+def test_bleu_stays_in_the_row_and_equals_plain_counts(spark):
+    import random
+    from collections import Counter
+
+    from changelens.functions.bleu import TOK13A_PRE, TOK13A_RULES
+
+    def tokens(x):
+        for a, b in TOK13A_PRE:
+            x = x.replace(a, b)
+        x = f" {x} "
+        for pat, rep in TOK13A_RULES:
+            x = re.sub(pat, rep, x)
+        return x.split()
+
+    def score(c, r):
+        c, r = tokens(c or ""), tokens(r or "")
+        ms = [sum((Counter(zip(*[c[i:] for i in range(n)])) & Counter(zip(*[r[i:] for i in range(n)]))).values()) for n in range(1, 5)]
+        if len(c) < 4 or not ms[0]:
+            return 0.0
+        zeros, logs = 0, 0.0
+        for n, m in enumerate(ms):
+            zeros += not m
+            logs += math.log(m / (len(c) - n) if m else 1 / (2 ** zeros * (len(c) - n)))
+        return (1.0 if len(c) >= len(r) else math.exp(1 - len(r) / len(c))) * math.exp(logs / 4)
+
+    draw = random.Random(3)
+    bits = ["a", "b", "the ", "é", "1", "23", "-", "-\n", "\n", " ", "\t", ".", ",", "..", ".,", "<skipped>", "&quot;", "&amp;", "(", "\\", "$1", " ", "\x85"]
+    text = lambda: None if draw.random() < 0.05 else "".join(draw.choice(bits[:draw.choice([3, 12, 23])]) for _ in range(draw.randrange(60)))
+    rows = [(i, text(), text()) for i in range(1500)] + [(1500, "x = 1..2 " * 40, "x = 1.2 " * 50)]
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    assert all(r.t == tokens(r.a) for r in df.where("a IS NOT NULL").select("a", tokenize_13a("a").alias("t")).collect())
+    scored = SIM.with_bleu(df, "a", "b")
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: r.bleu for r in scored.collect()}
+    assert max(abs(got[k] - score(a, b)) for k, a, b in rows) < 1e-9
+    assert scored.where("bleu > 0.5").count() == sum(v > 0.5 for v in got.values())
