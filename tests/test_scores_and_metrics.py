@@ -229,3 +229,14 @@ def test_bleu_stays_in_the_row_and_equals_plain_counts(spark):
     got = {r.k: r.bleu for r in scored.collect()}
     assert max(abs(got[k] - score(a, b)) for k, a, b in rows) < 1e-9
     assert scored.where("bleu > 0.5").count() == sum(v > 0.5 for v in got.values())
+
+
+def test_metric_job_shuffles_nothing(spark):
+    from changelens.plans.jobs import change_metrics
+
+    df = spark.createDataFrame([(1, "x = 1\n", "x = 2\ny = x + 1\n"), (1, "x = 1\n", "x = 1\n"), (None, "", "a = 1\n"), (2, None, "b")], "k int, before string, after string")
+    m = change_metrics(df)
+    assert "Exchange" not in m._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.before or "", r.after, r.error, r.token_similarity == 1.0) for r in m.collect()) == [
+        ("", "a = 1\n", "blank source", False), ("", "b", "blank source", False), ("x = 1\n", "x = 1\n", None, False), ("x = 1\n", "x = 2\ny = x + 1\n", None, False)]
+    assert m.where("error IS NULL").count() == 2
